@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,11 @@ def in_blocks(docs: DataFrame, n: int) -> DataFrame:
     return keyed.repartition(n, "block")
 
 
+def ordered(rows: pa.Table) -> pa.Table:
+    """Rows of a block in an order that a rerun repeats, whatever order the shuffle brought them in."""
+    return rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+
+
 def raw_text(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and UTF-8 bytes of a string column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -140,3 +146,18 @@ def bucket_edges(sorted_words: np.ndarray, n: int) -> np.ndarray:
     """Where each of n equal ranges of the 64-bit words begins; n+1 positions."""
     cuts = np.array([(i << 64) // n for i in range(n)], dtype=np.uint64)
     return np.append(np.searchsorted(sorted_words, cuts), len(sorted_words))
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the cluster's shared checkpoint folder: its lineage is cut and lost executors cost nothing.
+
+    The session's spark.checkpoint.dir is used; only where none is set, as in tests, a temporary folder is."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import runs
-from tessera.llm.common import Rolling, chunks, in_blocks, mix, partitions_for, raw_text, words_of
+from tessera.llm.common import Rolling, chunks, in_blocks, mix, ordered, partitions_for, raw_text, words_of
 
 WIDTH = 35
 #: Bases of the two independent fingerprints: of a word's bytes, of a window's words.
@@ -95,10 +95,12 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     dealt = in_blocks(docs, n)
 
     def first_runs(key: tuple, table: pa.Table) -> pa.Table:
+        table = ordered(table)
         distinct, multi, _ = _distinct(window_prints(*raw_text(table["text"]), width, 0))
         return pa.Table.from_pylist(runs.write_runs(key[0].as_py(), 0, distinct, multi, n), schema=runs.RUN)
 
     def second_runs(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        table = ordered(table)
         block, got = key[0].as_py(), replies.to_pylist()
         offsets, data = raw_text(table["text"])
         again = runs.read_replies(got, 0)
@@ -114,6 +116,7 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return pa.Table.from_pylist(rows, schema=runs.RUN)
 
     def keep(_: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        table = ordered(table)
         got = replies.to_pylist()
         whole = [r for r in got if r["turn"] == 0]
         offsets, data = raw_text(table["text"])
@@ -159,6 +162,7 @@ class FingerprintIndex:
         dealt = in_blocks(docs, n).groupBy("block")
 
         def write(key: tuple, table: pa.Table) -> pa.Table:
+            table = ordered(table)
             rows = []
             for turn in (0, 1):
                 distinct, multi, _ = _distinct(window_prints(*raw_text(table["text"]), width, turn))
@@ -166,6 +170,7 @@ class FingerprintIndex:
             return pa.Table.from_pylist(rows, schema=runs.RUN)
 
         def keep(_: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+            table = ordered(table)
             offsets, data = raw_text(table["text"])
             got, hit = replies.to_pylist(), None
             for turn in (0, 1):
