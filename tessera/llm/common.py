@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,13 @@ def partitions_for(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK
     return max(math.ceil(total / block_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def in_blocks(docs: DataFrame, n: int) -> DataFrame:
-    """(block, doc_id, text) dealt by a hash of doc_id: a hot source spreads evenly, equal ids stay together."""
-    keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text")
+def in_blocks(docs: DataFrame, n: int, carry: Sequence[str] = ()) -> DataFrame:
+    """(block, doc_id, text) dealt by a hash of doc_id: a hot source spreads evenly, equal ids stay together.
+
+    carry: other columns that ride along, as one struct `carried`."""
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")
+    carried = [F.struct(*(F.col(f"`{name}`") for name in carry)).alias("carried")] if carry else []
+    keyed = docs.select(block, "doc_id", F.col("text").cast("string").alias("text"), *carried)
     return keyed.repartition(n, "block")
 
 
@@ -148,16 +153,27 @@ def bucket_edges(sorted_words: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_words, cuts), len(sorted_words))
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder: its lineage is cut and lost executors cost nothing.
-
-    The session's spark.checkpoint.dir is used; only where none is set, as in tests, a temporary folder is."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where none is set, as in tests, a temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the cluster's shared checkpoint folder: its lineage is cut and lost executors cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: columns that a reader leaves out are not read."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -34,8 +34,14 @@ GROUP, FAR = 256, 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def row_key() -> Column:
+    """A hash of what identifies a row: only rows that are alike throughout share it."""
+    return F.xxhash64(*(x for name in ("doc_id", "source", "text") for x in (F.col(name).isNull(), F.col(name))))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
+    return docs.select("doc_id", "source", size.alias("size"), row_key().alias("row_key"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -61,7 +67,7 @@ def _let(value: Column, then) -> Column:
 def _moved(c: Column, share: Column) -> Column:
     """c with another fraction; what rounding errors leave of 0 and 1 is 0 and 1."""
     p = F.when(share < 1e-9, 0.0).when(share > 1 - 1e-9, 1.0).otherwise(share)
-    return F.struct(c["order"].alias("order"), c["doc_id"].alias("doc_id"), c["size"].alias("size"), c["base"].alias("base"), p.alias("p"))
+    return F.struct(c["order"].alias("order"), c["doc_id"].alias("doc_id"), c["size"].alias("size"), c["base"].alias("base"), c["row_key"].alias("row_key"), p.alias("p"))
 
 
 def _pair(done: Column, c: Column, x: Column, root: Column) -> Column:
@@ -84,7 +90,7 @@ def _state(c: Column, done: Column) -> Column:
     return F.struct(c.alias("c"), done.alias("done"))
 
 
-ITEM = "struct<order:bigint,doc_id:bigint,size:bigint,base:bigint,p:double>"
+ITEM = "struct<order:bigint,doc_id:bigint,size:bigint,base:bigint,row_key:bigint,p:double>"
 
 
 def _fold(items: Column, root: Column) -> Column:
@@ -105,14 +111,14 @@ def _fold(items: Column, root: Column) -> Column:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, source for every row of docs (doc_id, text, source)."""
+    """doc_id, size, source_size, target, taken, copies, source, row_key for every row of docs (doc_id, text, source)."""
     sizes = reliable(sized(docs))
     sources = targets(sizes)
     largest = sources.agg(F.max("n")).first()[0] or 1
     due = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(due + 1e-12)
     joined = sizes.withColumnRenamed("source", "of").join(sources, F.col("of").eqNullSafe(F.col("source")))
-    item = F.struct((-F.col("size")).alias("order"), "doc_id", "size", base.alias("base"), F.when(due - base < 1e-9, 0.0).otherwise(due - base).alias("p"))
+    item = F.struct((-F.col("size")).alias("order"), "doc_id", "size", base.alias("base"), "row_key", F.when(due - base < 1e-9, 0.0).otherwise(due - base).alias("p"))
     rows = joined.select("source", "source_size", "target", "n", item.alias("item"))
     site = ["source", "source_size", "target", "n"]
     finished, held = [], None
@@ -136,4 +142,24 @@ def mix(docs: DataFrame) -> DataFrame:
     for more in finished[1:]:
         out = out.unionByName(more)
     copies = F.col("item.base") + F.when(F.col("item.p") >= 0.5, 1).otherwise(0)
-    return out.select("item.doc_id", "item.size", "source_size", "target", (F.col("item.size") * copies).alias("taken"), copies.alias("copies"), "source")
+    return out.select("item.doc_id", "item.size", "source_size", "target", (F.col("item.size") * copies).alias("taken"), copies.alias("copies"), "source", F.col("item.row_key").alias("row_key"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs as the mix takes it: each row as often as it has copies, all columns unchanged.
+
+    Rows that are alike throughout have copies that differ by one at most; which of them gets more makes no difference,
+    so they are numbered only where there are such rows."""
+    due = mix(docs).groupBy("row_key", "doc_id").agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")).where("copies > 0")
+    due = reliable(due.select(F.col("row_key").alias("of"), F.col("doc_id").alias("id"), "rows", "copies"))
+    met = docs.withColumn(KEY, row_key()).join(due, (F.col(KEY) == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    each = F.col("copies")
+    if due.where("rows > 1").head(1):
+        met = met.withColumn(PLACE, F.row_number().over(Window.partitionBy("of", "id").orderBy(F.lit(0))))
+        each = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col(PLACE) <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    own = [F.col(f"`{name}`") for name in docs.columns]
+    return met.select(*own, F.explode(F.array_repeat(F.lit(0), each.cast("int"))).alias(KEY)).select(*own)
+
+
+#: Names of columns that no table has.
+KEY, PLACE = "__mixing_key", "__mixing_place"

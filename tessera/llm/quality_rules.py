@@ -146,3 +146,15 @@ def verdicts(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=OUT)
 
     return docs.select("doc_id", "text", "lang").mapInArrow(run, OUT_DDL)
+
+
+def accepted(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
+    """The rows of docs, all columns unchanged, that the rules keep: one narrow pass."""
+    path = vocabulary_path or vocabulary("piece_bpe_32k.model")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = measure(*raw_text(batch["text"]), batch["lang"].to_pylist(), word_pieces(path))
+            yield batch.filter(pa.array(found["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import chunks, raw_text, reliable
 from tessera.llm.components import EDGE, components, to_planes
@@ -195,14 +196,45 @@ def links(prints: DataFrame) -> DataFrame:
     return single.union(dealt).repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_links, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row of docs."""
+def _rooted(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, print) of every row, and (print, first, root): root names the component, first is its least doc_id."""
     rows = reliable(with_fingerprint(docs, shingle))
-    first = rows.groupBy("print").agg(F.min("doc_id").alias("first"))
-    first = reliable(first)
+    first = reliable(rows.groupBy("print").agg(F.min("doc_id").alias("first")))
     rooted = reliable(components(links(first)))
-    named = first.join(rooted, first["print"] == rooted["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+    return rows, first.join(rooted, first["print"] == rooted["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for every row of docs."""
+    rows, named = _rooted(docs, shingle)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     known = named.join(least, "root").select("print", "component_id")
     hexed = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
     return rows.join(known, "print").select("doc_id", hexed, "component_id")
+
+
+def survivors(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One row of docs, all columns unchanged, of each component: that of the least doc_id (null only if all are null),
+    of rows with this id the least fingerprint, of rows with both the least text."""
+    rows, named = _rooted(docs, shingle)
+    # Copies are counted before they are shuffled; a component is as many rows as it has different fingerprints.
+    order = F.min(F.struct(F.col("first").isNull(), "first", "print")).alias("best")
+    best = named.groupBy("root").agg(order).select(F.col("best.first").alias("id"), F.col("best.print").alias("own"))
+    many = rows.join(best, rows["print"] == best["own"]).where(F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("own", "id").count()
+    kept = reliable(many)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = pa.array(fingerprints(batch, shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, MARK])
+
+    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(MARK, LongType())]))
+    met = marked.join(kept, (F.col(MARK) == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    if kept.where("count > 1").head(1):
+        place = F.row_number().over(Window.partitionBy("own", "id").orderBy("text"))
+        met = met.withColumn("place", place).where("place = 1")
+    return met.select(*(F.col(f"`{name}`") for name in docs.columns))
+
+
+#: Name of a column that no table has.
+MARK = "__simhash_print"

@@ -11,13 +11,16 @@ history, appended as a run of level 0, and `compact()` merges levels.
 
 Defined cases: null or empty text has no words (n_words 0, the digest of the empty string); documents shorter than a
 window keep all words; repeated rows (equal ids too) count as separate documents and so remove each other's windows;
-a null doc_id is carried; an empty table gives an empty result; columns other than doc_id and text are ignored.
+a null doc_id is carried; an empty table gives an empty result; columns other than doc_id and text are ignored, or ride
+along in `without_repeats`, which returns the columns of its input: a text that loses words becomes its kept words with
+one space between, any other stays as it is.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +79,7 @@ def removed_words(offsets: np.ndarray, data: np.ndarray, width: int, hit: np.nda
 
 
 def _kept(table: pa.Table, width: int, hit: np.ndarray) -> pa.Table:
+    """The rows of OUT, and what rides along."""
     offsets, data = raw_text(table["text"])
     ids = table["doc_id"].to_pylist()
     rows: dict[str, list] = {name: [] for name in OUT.names}
@@ -86,13 +90,17 @@ def _kept(table: pa.Table, width: int, hit: np.ndarray) -> pa.Table:
         text = b" ".join(words)
         for name, value in zip(OUT.names, (ids[r], n, n - len(words), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace")), strict=True):
             rows[name].append(value)
-    return pa.table(rows, schema=OUT)
+    out = pa.table(rows, schema=OUT)
+    return out.append_column("carried", table["carried"]) if "carried" in table.column_names else out
 
 
-def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text: one row for each row of docs."""
+def dedup(docs: DataFrame, width: int = WIDTH, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_text: one row for each row of docs.
+
+    carry: columns of docs that ride along, as one struct `carried`."""
     n = partitions_for(docs)
-    dealt = in_blocks(docs, n)
+    dealt = in_blocks(docs, n, carry)
+    out_ddl = OUT_DDL + (f", carried {dealt.schema['carried'].dataType.simpleString()}" if carry else "")
 
     def first_runs(key: tuple, table: pa.Table) -> pa.Table:
         table = ordered(table)
@@ -133,7 +141,22 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     blocks = dealt.groupBy("block")
     first = merged(blocks.applyInArrow(first_runs, runs.RUN_DDL))
     second = merged(blocks.cogroup(first.groupBy("block")).applyInArrow(second_runs, runs.RUN_DDL))
-    return blocks.cogroup(second.groupBy("block")).applyInArrow(keep, OUT_DDL)
+    return blocks.cogroup(second.groupBy("block")).applyInArrow(keep, out_ddl)
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with repeated windows cut from the texts; n_chars, where there is one, follows."""
+    found = dedup(docs, width, docs.columns)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carried.text"))
+    columns = []
+    for name in docs.columns:
+        if name == "text":
+            columns.append(text.alias(name))
+        elif name == "n_chars":
+            columns.append(F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema[name].dataType)).otherwise(F.col("carried.n_chars")).alias(name))
+        else:
+            columns.append(F.col(f"carried.`{name}`").alias(name))
+    return found.select(*columns)
 
 
 class _Never:
