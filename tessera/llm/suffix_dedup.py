@@ -5,8 +5,9 @@ judged on the input, in UTF-8 bytes, within documents.
 
 Sparse suffixes. Every `LENGTH`-byte string holds `LENGTH - GRAM + 1` grams of `GRAM` bytes, and the one of least hash
 is its anchor; equal strings have equal anchors. So only suffixes that start at an anchor are sorted, about one in
-seventeen, each with the `REACH` bytes before it. Anchors whose gram is in one document only can't match: the first
-exchange (runs.py) finds the others, and only these travel as text.
+seventeen, each with the `REACH` bytes before it. A string around an anchor holds the `CONTEXT` bytes from the anchor on or
+those up to its gram's end; anchors with neither in another document can't match: the first exchange (runs.py) finds the
+others, and only these travel as text.
 
 Merge sort. A block of documents sorts its anchored suffixes and sends each range of grams one front-coded run: the
 length of the prefix shared with the suffix before, and the rest. The runs of a range are merged by a loser tree that
@@ -35,13 +36,17 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from tessera.llm import runs
-from tessera.llm.common import Rolling, in_blocks, mix, ordered, partitions_for, raw_text
+from tessera.llm.common import Rolling, chunks, in_blocks, mix, ordered, partitions_for, raw_text
 
 LENGTH, GRAM = 50, 18
 #: An anchor lies so far into a string at most; the strings around it start 0 to REACH bytes before it.
 REACH = LENGTH - GRAM
+#: Of a string that holds an anchor, the bytes from the anchor on or those up to its gram's end are so many at least.
+CONTEXT = GRAM + REACH // 2
 WORDS, LEFT_WORDS = -(-LENGTH // 8), REACH // 8
 STRETCH = 1 << 17
+#: Ranges of suffixes for each block: half a block's suffixes is what a merge holds, even if all of them match.
+RANGES = 2
 BASE = 0x9E3779B97F4A7C15
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -97,14 +102,32 @@ class Block:
     def keep(self, mask: np.ndarray) -> None:
         self.place, self.hash, self.row = self.place[mask], self.hash[mask], self.row[mask]
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct sorted hashes, whether two documents of the block have each, and every anchor's among them."""
-        distinct, which = np.unique(self.hash, return_inverse=True)
-        ids = self.ids[self.row]
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct sorted hashes of the CONTEXT bytes from and up to each anchor's gram, whether two documents of the
+        block have each, and for every anchor (after: first row, before: second row) its place, or -1 without the bytes."""
+        own = np.zeros((2, len(self.place)), np.uint64)
+        whole = np.zeros((2, len(self.place)), dtype=bool)
+        for i, j in chunks(self.offsets):
+            base, end = self.offsets[i], self.offsets[j]
+            a, b = np.searchsorted(self.place, [base, end])
+            at, row = self.place[a:b], self.row[a:b]
+            rolling = Rolling(self.data[base:end].astype(np.uint64) + np.uint64(1), BASE)
+            for side, start in enumerate((at, at + GRAM - CONTEXT)):
+                fits = (start >= self.offsets[row]) & (start + CONTEXT <= self.offsets[row + 1])
+                own[side, a:b][fits] = mix(rolling.of(start[fits] - base, start[fits] - base + CONTEXT) + np.uint64(side))
+                whole[side, a:b] = fits
+        ids = np.broadcast_to(self.ids[self.row], own.shape)[whole]
+        distinct, which = np.unique(own[whole], return_inverse=True)
         low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
         np.minimum.at(low, which, ids)
         np.maximum.at(high, which, ids)
-        return distinct, low < high, which
+        place = np.full(own.shape, -1)
+        place[whole] = which
+        return distinct, low < high, place
+
+    def matched(self, again: np.ndarray) -> np.ndarray:
+        """Flags of the anchors with a context that another document has, given flags of the distinct hashes."""
+        return np.append(again, False)[self.keys()[2]].any(axis=0)
 
 
 class Suffixes:
@@ -127,7 +150,8 @@ class Suffixes:
         mixed = right.astype(np.uint64) * np.uint64(64) + left
         for column in (*words.T, *back.T):
             mixed = mix(mixed ^ column)
-        bucket = ((block.hash >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        # An anchor's hash is the least of many; hashed again, it deals grams evenly.
+        bucket = ((mix(block.hash) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         ids = block.ids[block.row]
         order = np.lexsort((ids, mixed, *words.T[::-1], bucket))
         new = np.ones(n, dtype=bool)
@@ -357,10 +381,11 @@ def _remove(block: Block, covered: np.ndarray) -> pa.Table:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: one row for each row of docs."""
     n = partitions_for(docs)
+    ranges = RANGES * n
     blocks = in_blocks(docs, n).groupBy("block")
 
     def first_runs(key: tuple, table: pa.Table) -> pa.Table:
-        distinct, multi, _ = Block(table).grams()
+        distinct, multi, _ = Block(table).keys()
         return pa.Table.from_pylist(runs.write_runs(key[0].as_py(), 0, distinct, multi, n), schema=runs.RUN)
 
     def suffix_runs(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -368,9 +393,9 @@ def dedup(docs: DataFrame) -> DataFrame:
         if not again.any():
             return runs.RUN.empty_table()
         block = Block(table)
-        hit = again[block.grams()[2]]
+        hit = block.matched(again)
         block.keep(hit)
-        rows = Suffixes(block, n).runs(number, n)
+        rows = Suffixes(block, ranges).runs(number, ranges)
         rows.append({"bucket": number % n, "block": number, "turn": 0, "n": -len(hit), "payload": np.packbits(hit).tobytes(), "multi": b""})
         return pa.Table.from_pylist(rows, schema=runs.RUN)
 
@@ -380,7 +405,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         hits = [r for r in got if r["turn"] == 0]
         if hits:
             block.keep(np.unpackbits(np.frombuffer(hits[0]["bits"], np.uint8), count=-hits[0]["n"]).astype(bool))
-            suffixes, masks = Suffixes(block, n), _masks(got)
+            suffixes, masks = Suffixes(block, ranges), _masks(got)
             ids, own = block.ids[block.row], masks[suffixes.entry]
             room = np.minimum(block.offsets[block.row + 1] - block.place, LENGTH), np.minimum(block.place - block.offsets[block.row], REACH)
             later = ids > suffixes.ids[suffixes.entry]
