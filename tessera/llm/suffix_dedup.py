@@ -401,7 +401,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def keep(_: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         block, got = Block(table), replies.to_pylist()
-        edge = np.zeros(len(block.data) + 1, np.int32)
+        edge = np.zeros(len(block.data) + 1, np.int8)  # at most REACH + 1 strings begin or end at a byte
         hits = [r for r in got if r["turn"] == 0]
         if hits:
             block.keep(np.unpackbits(np.frombuffer(hits[0]["bits"], np.uint8), count=-hits[0]["n"]).astype(bool))
@@ -412,9 +412,9 @@ def dedup(docs: DataFrame) -> DataFrame:
             for o in range(REACH + 1):
                 hit = np.where(later, (room[1] >= o) & (room[0] >= LENGTH - o), (own >> np.uint64(o)) & np.uint64(1) == 1)
                 start = block.place[hit] - o
-                edge += np.bincount(start, minlength=len(edge)).astype(np.int32)
-                edge -= np.bincount(start + LENGTH, minlength=len(edge)).astype(np.int32)
-        return _remove(block, np.cumsum(edge[:-1]) > 0)
+                edge[start] += 1  # anchors differ, so these places do
+                edge[start + LENGTH] -= 1
+        return _remove(block, np.cumsum(edge[:-1], dtype=np.int16) > 0)
 
     first = blocks.applyInArrow(first_runs, runs.RUN_DDL).groupBy("bucket").applyInArrow(lambda t: runs.merge_runs(t), runs.REPLY_DDL)
     second = blocks.cogroup(first.groupBy("block")).applyInArrow(suffix_runs, runs.RUN_DDL).groupBy("bucket").applyInArrow(lambda t: _merge_range(t), runs.REPLY_DDL)
