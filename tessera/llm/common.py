@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text in one block of documents; a longer document is a block's only large member.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes handled at once by the vectorised kernels, so that scratch arrays stay in cache and memory stays flat.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -35,7 +35,7 @@ class Forest:
             self.up[max(x, y)] = min(x, y)
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of one partition to a forest with the same components: one edge for each node but the roots."""
     forest = Forest()
     for batch in batches:
@@ -59,12 +59,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, contracted: bool = False) -> DataFrame:
     """(node, root) for every node of an edge; root is the least node of its component.
 
-    edges has long columns u and v. Null ends and self-loops are ignored; no edge gives no row."""
+    edges has long columns u and v. Null ends and self-loops are ignored; no edge gives no row. contracted: each partition
+    of edges is a forest already."""
     links = edges.where("u is not null and v is not null and u <> v").select("u", "v")
-    links = reliable(links.mapInArrow(_contract, "u bigint, v bigint").distinct())
+    links = reliable((links if contracted else links.mapInArrow(contract, "u bigint, v bigint")).distinct())
     before = None
     while True:
         links = reliable(_star(_star(links, True), False))

@@ -140,10 +140,12 @@ def verdicts(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     path = vocabulary_path or vocabulary("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = word_pieces(path)
         for batch in batches:
-            found = measure(*raw_text(batch["text"]), batch["lang"].to_pylist(), word_pieces(path))
+            found = measure(*raw_text(batch["text"]), batch["lang"].to_pylist(), pieces)
             columns = [batch["doc_id"].cast(pa.int64())] + [pa.array(found[name], OUT.field(name).type) for name in OUT.names[1:]]
             yield pa.RecordBatch.from_arrays(columns, schema=OUT)
+        pieces.clear()  # a worker that goes on to other work holds no words
 
     return docs.select("doc_id", "text", "lang").mapInArrow(run, OUT_DDL)
 
@@ -153,8 +155,10 @@ def accepted(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     path = vocabulary_path or vocabulary("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = word_pieces(path)
         for batch in batches:
-            found = measure(*raw_text(batch["text"]), batch["lang"].to_pylist(), word_pieces(path))
+            found = measure(*raw_text(batch["text"]), batch["lang"].to_pylist(), pieces)
             yield batch.filter(pa.array(found["kept"]))
+        pieces.clear()
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import chunks, raw_text, reliable
-from tessera.llm.components import EDGE, components, to_planes
+from tessera.llm.components import EDGE, components, contract, to_planes
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints of one key that one task compares; a larger key is dealt to pairs of chunks.
@@ -185,7 +185,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column print) that keep every component whole."""
+    """Edges (u, v) between distinct fingerprints (column print) that keep every component whole; each partition a forest."""
     keyed = prints.select("print", F.explode(search_keys(F.col("print"))).alias("key"))
     large = keyed.groupBy("key").count().where(F.col("count") > SPLIT).select("key", F.ceil(F.col("count") / SPLIT).cast("int").alias("parts"))
     joined = keyed.join(large, "key", "left")
@@ -193,14 +193,14 @@ def links(prints: DataFrame) -> DataFrame:
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: F.least(c, F.col("chunk")) * F.col("parts") + F.greatest(c, F.col("chunk")).cast("bigint"))
     single = joined.where("parts is null").select("key", F.lit(0).cast("bigint").alias("pair"), "print")
     dealt = joined.where("parts is not null").withColumn("chunk", chunk).select("key", F.explode(others).alias("pair"), "print")
-    return single.union(dealt).repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_links, "u bigint, v bigint")
+    return single.union(dealt).repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(lambda batches: contract(_links(batches)), "u bigint, v bigint")
 
 
 def _rooted(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, print) of every row, and (print, first, root): root names the component, first is its least doc_id."""
     rows = reliable(with_fingerprint(docs, shingle))
     first = reliable(rows.groupBy("print").agg(F.min("doc_id").alias("first")))
-    rooted = reliable(components(links(first)))
+    rooted = reliable(components(links(first), contracted=True))
     return rows, first.join(rooted, first["print"] == rooted["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
 
 

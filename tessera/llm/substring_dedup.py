@@ -78,8 +78,8 @@ def removed_words(offsets: np.ndarray, data: np.ndarray, width: int, hit: np.nda
             yield i + r, len(mask), mask if mask.any() else None
 
 
-def _kept(table: pa.Table, width: int, hit: np.ndarray) -> pa.Table:
-    """The rows of OUT, and what rides along."""
+def _kept(table: pa.Table, width: int, hit: np.ndarray, whole: bool = False) -> pa.Table:
+    """The rows of OUT, and what rides along. whole: a text that loses nothing comes back as it was, not as its words."""
     offsets, data = raw_text(table["text"])
     ids = table["doc_id"].to_pylist()
     rows: dict[str, list] = {name: [] for name in OUT.names}
@@ -88,16 +88,18 @@ def _kept(table: pa.Table, width: int, hit: np.ndarray) -> pa.Table:
         if mask is not None:
             words = [words[k] for k in np.flatnonzero(~mask)]
         text = b" ".join(words)
-        for name, value in zip(OUT.names, (ids[r], n, n - len(words), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace")), strict=True):
+        kept = table["text"][r].as_py() if whole and mask is None else text.decode("utf-8", "replace")
+        for name, value in zip(OUT.names, (ids[r], n, n - len(words), hashlib.sha256(text).hexdigest(), kept), strict=True):
             rows[name].append(value)
     out = pa.table(rows, schema=OUT)
     return out.append_column("carried", table["carried"]) if "carried" in table.column_names else out
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, carry: Sequence[str] = ()) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, carry: Sequence[str] = (), whole: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text: one row for each row of docs.
 
-    carry: columns of docs that ride along, as one struct `carried`."""
+    carry: columns of docs that ride along, as one struct `carried`. whole: kept_text of a text that loses nothing is the
+    text as it was."""
     n = partitions_for(docs)
     dealt = in_blocks(docs, n, carry)
     out_ddl = OUT_DDL + (f", carried {dealt.schema['carried'].dataType.simpleString()}" if carry else "")
@@ -129,11 +131,11 @@ def dedup(docs: DataFrame, width: int = WIDTH, carry: Sequence[str] = ()) -> Dat
         whole = [r for r in got if r["turn"] == 0]
         offsets, data = raw_text(table["text"])
         if not whole:
-            return _kept(table, width, _Never())
+            return _kept(table, width, _Never(), whole)
         hit = np.unpackbits(np.frombuffer(whole[0]["bits"], np.uint8), count=-whole[0]["n"]).astype(bool)
         place = _distinct(window_prints(offsets, data, width, 1)[hit])[2]
         hit[hit] = runs.read_replies(got, 1)[place]
-        return _kept(table, width, hit)
+        return _kept(table, width, hit, whole)
 
     def merged(written: DataFrame) -> DataFrame:
         return written.groupBy("bucket").applyInArrow(lambda table: runs.merge_runs(table), runs.REPLY_DDL)
@@ -146,17 +148,14 @@ def dedup(docs: DataFrame, width: int = WIDTH, carry: Sequence[str] = ()) -> Dat
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with repeated windows cut from the texts; n_chars, where there is one, follows."""
-    found = dedup(docs, width, docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carried.text"))
-    columns = []
-    for name in docs.columns:
-        if name == "text":
-            columns.append(text.alias(name))
-        elif name == "n_chars":
-            columns.append(F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema[name].dataType)).otherwise(F.col("carried.n_chars")).alias(name))
-        else:
-            columns.append(F.col(f"carried.`{name}`").alias(name))
-    return found.select(*columns)
+    others = [name for name in docs.columns if name not in ("doc_id", "text")]
+    found = dedup(docs, width, others, whole=True)
+    changed, columns = F.col("n_removed") > 0, {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    for name in others:
+        columns[name] = F.col(f"carried.`{name}`")
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return found.select(*(columns[name].alias(name) for name in docs.columns))
 
 
 class _Never:
