@@ -25,10 +25,9 @@ def matching_terms(index: Index, pattern: str) -> DataFrame:
 
 
 def search(index: Index, pattern: str, k: int = fixed.TOP_K) -> DataFrame:
-    """Documents by the sum of tf * idf over the matching terms; scores of zero stay."""
-    hits = index.postings.where(F.col("term").like(like(pattern))).select("term", "doc_id", "tf")
-    scores = hits.join(matching_terms(index, pattern), "term").groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("idf")).alias("score"))
-    return top(scores, k)
+    """Documents by the sum of the matching terms' weights; scores of zero stay."""
+    hits = index.postings.where(F.col("term").like(like(pattern)))
+    return top(hits.groupBy("doc_id").agg(F.sum("weight").alias("score")), k)
 
 
 def bigrams(terms: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ ORACLE: dict[str, str] = {
     "incidence_row": f"WITH {TOKENS} SELECT doc_id, max((term = {sql(P.TERM)})::INT)::INT AS present FROM tok GROUP BY doc_id",
     "wildcard_terms": f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS df FROM tok WHERE regexp_full_match(term, 'th.*ed') GROUP BY term",
     "wildcard_candidates": f"WITH {TOKENS} SELECT DISTINCT term FROM tok WHERE contains('$' || term || '$', '$t') AND contains('$' || term || '$', 'th') AND contains('$' || term || '$', 'ed') AND contains('$' || term || '$', 'd$')",
-    "wildcard_search": f"WITH {INDEX}, s AS (SELECT doc_id, sum(tf * idf) AS score FROM post JOIN voc USING (term) WHERE regexp_full_match(term, 'th.*ed') GROUP BY doc_id) {top('s')}",
+    "wildcard_search": f"WITH {INDEX}, s AS (SELECT doc_id, sum(weight) AS score FROM wgt WHERE regexp_full_match(term, 'th.*ed') GROUP BY doc_id) {top('s')}",
     "keyword_ranked": f"WITH {INDEX}, {ranked(FREE)} {top('cos')}",
     "keyword_boolean_ranked": floored(ones(P.AND_NOT), f"SELECT * FROM ({docs_with('thing')}) WHERE doc_id NOT IN ({docs_with('ering')})"),
     "keyword_phrase_ranked": floored(ones("er en"), PHRASE),

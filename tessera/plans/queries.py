@@ -13,7 +13,7 @@ from tessera.functions import text as T
 from tessera.operators import boolean, chunk, dense, evaluate, fusion, sparse, wildcard
 from tessera.operators.index import Index, document_frequency, positions, raw_postings
 from tessera.plans import session as S
-from tessera.sources.storage import new_path, stored
+from tessera.sources.storage import new_path, spread, stored
 from tessera.streaming.ingest import collapsed
 
 FREE_TEXT = "thing ering er en"
@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> Index:

@@ -29,3 +29,9 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df over every core: a table of fewer splits than that (one small file, say) is dealt by its key, others stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
