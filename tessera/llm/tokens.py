@@ -16,6 +16,15 @@ CACHE_WORDS, CACHE_CORES = 200_000, 600_000
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*,.:;|?]*)")
 
 
+def _spelling() -> dict[int, int]:
+    """Byte-level vocabularies spell each byte as one character: those that print as themselves, others from 256 on."""
+    others = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_SPELLED = _spelling()
+
+
 class WordBpe(dict):
     """Word to its ids as little-endian unsigned 32-bit bytes, equal to encoding it with the vocabulary's file.
 
@@ -26,6 +35,10 @@ class WordBpe(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.cores: dict[str, bytes] = {}
+        probes = ["probe", "größe", "ñàÿ", "?!", "*"]
+        self.direct = True  # a run of letters or signs is one pretoken, which the merges take as it is
+        self.direct = all(self.core(p) == self.encode(p) for p in probes)
+        self.cores.clear()
 
     def encode(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -35,7 +48,12 @@ class WordBpe(dict):
         if got is None:
             if len(self.cores) >= CACHE_CORES:
                 self.cores.clear()
-            self.cores[part] = got = self.encode(part)
+            if self.direct:
+                spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_SPELLED)
+                got = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled))
+            else:
+                got = self.encode(part)
+            self.cores[part] = got
         return got
 
     def __missing__(self, word: bytes) -> bytes:
