@@ -128,11 +128,11 @@ def dedup(docs: DataFrame, width: int = WIDTH, carry: Sequence[str] = (), whole:
     def keep(_: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         table = ordered(table)
         got = replies.to_pylist()
-        whole = [r for r in got if r["turn"] == 0]
+        flags = [r for r in got if r["turn"] == 0]
         offsets, data = raw_text(table["text"])
-        if not whole:
+        if not flags:
             return _kept(table, width, _Never(), whole)
-        hit = np.unpackbits(np.frombuffer(whole[0]["bits"], np.uint8), count=-whole[0]["n"]).astype(bool)
+        hit = np.unpackbits(np.frombuffer(flags[0]["bits"], np.uint8), count=-flags[0]["n"]).astype(bool)
         place = _distinct(window_prints(offsets, data, width, 1)[hit])[2]
         hit[hit] = runs.read_replies(got, 1)[place]
         return _kept(table, width, hit, whole)

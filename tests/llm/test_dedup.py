@@ -96,6 +96,13 @@ def test_substring_dedup_carries_columns(docs, empty):
     assert substring_dedup.without_repeats(empty).count() == 0
 
 
+def test_substring_dedup_leaves_blocks_without_repeats(spark):
+    """Texts that lose nothing come back as they were, whatever else their block holds."""
+    rows = [(1, "two\n\n lines\t here ", 17), (2, None, 5), (3, "", 0), (4, " ".join(f"w{i}" for i in range(60)) + "\n", 231)]
+    got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"))
+    assert sorted(tuple(r) for r in got.collect()) == rows
+
+
 def test_fingerprint_index_is_incremental(spark, tmp_path):
     a = " ".join(f"w{i}" for i in range(50))
     b = " ".join(f"v{i}" for i in range(50))
