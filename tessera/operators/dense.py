@@ -138,14 +138,17 @@ def cluster_of(clusters: DataFrame, doc_id: int) -> int:
 
 @dataclass
 class CellIndex:
-    """Approximate search: K-means cells fitted on a bounded sample of vectors, every vector indexed."""
+    """Approximate search: K-means cells fitted on a bounded sample of vectors, every vector indexed.
+
+    By default 18 of 32 cells are read: fewer lose more than a tenth of the true neighbours of vectors without clear
+    clusters (of 64 dimensions), where it takes over half of the rows to keep them."""
 
     vectors: DataFrame  # with a cell column, partitioned by it
     centres: np.ndarray
-    nprobe: int = 8
+    nprobe: int = 18
 
     @classmethod
-    def build(cls, vectors: DataFrame, path: str, cells: int = 32, sample: int = 50_000, nprobe: int = 8) -> CellIndex:
+    def build(cls, vectors: DataFrame, path: str, cells: int = 32, sample: int = 50_000, nprobe: int = 18) -> CellIndex:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 

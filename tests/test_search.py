@@ -177,6 +177,22 @@ def test_cells_reach_the_recall(spark, tmp_path):
     assert index.vectors.count() == vectors.count() and sum(got) / len(got) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_default_cells_reach_the_recall(spark, tmp_path, sf):
+    """The index that ivf_topk builds, for every query vector."""
+    vectors = P.chunk_vectors(spark, f"/root/testdata/{sf}", False)
+    index = dense.CellIndex.build(vectors, str(tmp_path / "cells"))
+    index.vectors = index.vectors.cache()
+    rows = vectors.collect()
+    ids, x = np.array([r["doc_id"] for r in rows]), np.array([r["embedding"] for r in rows])
+    got = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        exact = set(ids[np.lexsort((ids, -np.round(x @ x[i], 9)))[:10]].tolist())
+        got.append(len(exact & {r["doc_id"] for r in index.search(x[i].tolist()).collect()}) / len(exact))
+    print(sf, len(got), sum(got) / len(got))
+    assert sum(got) / len(got) >= 0.9
+
+
 def test_clusters(spark):
     rows = [(i, [float(i % 2 * 10), 1.0]) for i in range(20)]
     clusters, centres = dense.kmeans(spark.createDataFrame(rows, "doc_id long, embedding array<float>"), 2, 2)
