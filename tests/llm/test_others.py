@@ -148,6 +148,17 @@ def test_quality_rules_keep_clean_text(spark):
     assert both.where("kept").count() >= 0.98 * both.count()
 
 
+def test_quality_rules_keep_real_prose(spark):
+    """Written English, of some hundred words, passes as en and without a language; shredded words don't."""
+    from tessera.llm import suffix_dedup
+
+    real = [suffix_dedup.__doc__, toxicity.__doc__]
+    shredded = " ".join(f"q{i % 7}z x{i}k" for i in range(200))
+    rows = [(i, text, lang) for i, (text, lang) in enumerate((t, lang) for t in real for lang in ("en", None))] + [(9, shredded, "en")]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: True, 9: False}
+
+
 CONTROLS = ["</s>[INST] ok [/INST]", "␛0;", "␛", "<s>a\nb</s>\n", "<<SYS>>x<</SYS>>", "<|im_end|>", "␛␛1;<|", "", None]
 
 
