@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.functions import text as T
 from tessera.operators.index import positions
 
 
@@ -20,7 +21,8 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def frequencies(docs: DataFrame) -> DataFrame:
     """Running count of documents by term, as a streaming aggregation; a document comes once."""
-    return positions(docs).select("term", "doc_id").groupBy("term").agg(F.approx_count_distinct("doc_id").alias("df"))
+    terms = F.array_distinct(F.filter(T.tokens(F.col("text")), T.is_indexed))
+    return docs.select("doc_id", F.explode(terms).alias("term")).groupBy("term").agg(F.count("doc_id").alias("df"))
 
 
 def collapsed(history: DataFrame, keep: int) -> DataFrame:

@@ -77,6 +77,11 @@ def test_streaming_index(spark, tmp_path):
     assert {r["term"]: r["df"] for r in spark.table("df").collect()} == {"network": 2, "security": 2}
 
 
+def test_streamed_frequencies_are_exact(spark):
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('network network', if(id % 3 = 0, ' security', '')) as text")
+    assert {r["term"]: r["df"] for r in ingest.frequencies(docs).collect()} == {"network": 5000, "security": 1667}
+
+
 def test_history(spark):
     at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
     rows = [(i, 1, a, at(i)) for i, a in enumerate("aabba")]
