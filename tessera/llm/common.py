@@ -9,7 +9,8 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text in one block of documents; a longer document is a block's only large member.
@@ -33,13 +34,16 @@ def partitions_for(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK
     return max(math.ceil(total / block_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def block_of(n: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block")
+
+
 def in_blocks(docs: DataFrame, n: int, carry: Sequence[str] = ()) -> DataFrame:
-    """(block, doc_id, text) dealt by a hash of doc_id: a hot source spreads evenly, equal ids stay together.
+    """(block, doc_id, text) dealt by a hash of doc_id and text: neither a hot source nor a repeated or null id fills a block.
 
     carry: other columns that ride along, as one struct `carried`."""
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")
     carried = [F.struct(*(F.col(f"`{name}`") for name in carry)).alias("carried")] if carry else []
-    keyed = docs.select(block, "doc_id", F.col("text").cast("string").alias("text"), *carried)
+    keyed = docs.select(block_of(n), "doc_id", F.col("text").cast("string").alias("text"), *carried)
     return keyed.repartition(n, "block")
 
 
@@ -126,8 +130,29 @@ def words_of(segment: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, row
 
 
+def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every word of rows that lie end to end, and the number of words of each row."""
+    hashes, count = [], np.zeros(len(offsets) - 1, np.int64)
+    digest = xxhash.xxh64_intdigest
+    for r in range(len(count)):
+        words = data[offsets[r] : offsets[r + 1]].tobytes().split()
+        count[r] = len(words)
+        hashes.append(np.fromiter(map(digest, words), np.uint64, len(words)))
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), count
+
+
+def slide(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
+    """op over every width consecutive values, by doubling."""
+    have = 1
+    while have * 2 <= width:
+        values = op(values[: len(values) - have], values[have:])
+        have *= 2
+    rest = width - have
+    return op(values[: len(values) - rest], values[rest:]) if rest else values
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit words as differences, cut into byte planes; planes of zeros are left out."""
+    """Sorted 64-bit words as differences, cut into byte planes; planes of zeros are left out."""
     if not len(values):
         return b""
     step = np.diff(values)
@@ -154,18 +179,25 @@ def bucket_edges(sorted_words: np.ndarray, n: int) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where none is set, as in tests, a temporary folder."""
+    """The folder that all executors share: the session's checkpoint folder, spark.checkpoint.dir where none is set yet."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None) or (LOCAL if context.master.startswith("local") else None)
         if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+#: Where one machine is the whole cluster, as in tests.
+LOCAL = "/tmp/tessera-checkpoints"
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # the store's own reader: any scheme
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the cluster's shared checkpoint folder: its lineage is cut and lost executors cost nothing."""
     shared_folder(df.sparkSession)

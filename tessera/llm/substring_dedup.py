@@ -3,147 +3,297 @@
 A window is `width` consecutive words of one document. A word goes if some window over it has a word sequence that
 also starts anywhere else, in the same document or another; windows are judged on the input.
 
-Every block of documents becomes sorted immutable runs of window fingerprints (runs.py). The runs are merge-joined
-range by range and answered by bitmaps. Windows whose first fingerprint repeats are then verified by a second,
-independent 64-bit fingerprint, exchanged in the same way, so that 128 bits agree before anything is removed.
-`FingerprintIndex` keeps the same runs on shared storage for incremental use: each new batch is merge-joined with the
-history, appended as a run of level 0, and `compact()` merges levels.
+Index. Every window holds shorter windows of `GRAM` words, and the one of least hash stands for it: equal windows have
+equal ones, and about one position in ten is the least of some window. Each batch of documents becomes one level of the
+index, a sorted immutable run of these hashes for each range (bucket) of them, each hash with the block of documents
+that holds it. Levels are merge-joined: a hash that another block holds, or one block twice, is sent to its blocks.
+When `FANOUT` levels have come together they are compacted into one.
+
+Verification. Only windows whose least hash repeats are looked at, and they are compared by a 128-bit BLAKE2b digest of
+their words, exchanged in sorted runs (runs.py): a window goes only if the digest of its words repeats.
+
+`dedup` sends a table through an index in `BATCHES` batches and judges all of it; `FingerprintIndex.add` judges each new
+batch against itself and the history, of which it reads again the blocks of documents that hold a hash of the batch.
 
 Defined cases: null or empty text has no words (n_words 0, the digest of the empty string); documents shorter than a
 window keep all words; repeated rows (equal ids too) count as separate documents and so remove each other's windows;
 a null doc_id is carried; an empty table gives an empty result; columns other than doc_id and text are ignored, or ride
 along in `without_repeats`, which returns the columns of its input: a text that loses words becomes its kept words with
-one space between, any other stays as it is.
+one space between, any other stays as it is. A text is held whole by one task, however long.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import runs
-from tessera.llm.common import Rolling, chunks, in_blocks, mix, ordered, partitions_for, raw_text, words_of
-
-WIDTH = 35
-#: Bases of the two independent fingerprints: of a word's bytes, of a window's words.
-BASES = ((0x8E3C5B2F9D1A4E67, 0xC2B2AE3D27D4EB4F), (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
-
+from tessera.llm.common import Rolling, block_of, bucket_edges, chunks, deleted, in_blocks, mix, ordered, pack_sorted, partitions_for, raw_text, shared_folder, slide, stored, unpack_sorted, word_hashes
+
+WIDTH, GRAM = 35, 16
+#: Batches in which a whole table enters the index, and levels that are compacted into one.
+BATCHES, FANOUT = 2, 2
+#: Entries of one row of a level.
+ROW = 1 << 20
+BASE = 0xE7037ED1A0B428DB
+
+LEVEL = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("payload", pa.binary()), ("blocks", pa.binary()), ("many", pa.binary())])
+LEVEL_DDL = "bucket int, n int, payload binary, blocks binary, many binary"
+REPEATS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
+REPEATS_DDL = "block int, bucket int, n int, payload binary"
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 OUT_DDL = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
 
 
-def window_prints(offsets: np.ndarray, data: np.ndarray, width: int, which: int) -> np.ndarray:
-    """Fingerprints of all windows, in the order of rows and positions."""
-    of_word, of_window = BASES[which]
-    out = []
+def least_hashes(hashes: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of every window, its least gram's hash, and (place, hash) of all grams that are a window's least."""
+    gram = min(GRAM, width)
+    if len(hashes) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)
+    at = np.arange(len(hashes) - gram + 1)
+    grams = mix(Rolling(hashes, BASE).of(at, at + gram)) | np.uint64(1)
+    inside = width - gram + 1
+    least = slide(grams, inside, np.minimum)
+    whole = row[: len(row) - width + 1] == row[width - 1 :]
+    padded = np.zeros(len(least) + 2 * (inside - 1), np.uint64)
+    padded[inside - 1 : inside - 1 + len(least)] = np.where(whole, least, np.uint64(0))
+    # A gram is its windows' least if the greatest least of the windows that hold it is its own hash.
+    place = np.flatnonzero(slide(padded, inside, np.maximum)[: len(grams)] == grams)
+    first = np.flatnonzero(whole)
+    return first, least[first], np.stack([place, grams[place].view(np.int64)])
+
+
+def entries(offsets: np.ndarray, data: np.ndarray, block: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted (hash, block) of the grams that are least, each once, and whether it stands at two places or more."""
+    found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, j in chunks(offsets):
-        segment = data[offsets[i] : offsets[j]]
-        start, end, row = words_of(segment, offsets[i : j + 1] - offsets[i])
-        if len(start) < width:
-            continue
-        word = mix(Rolling(segment.astype(np.uint64) + np.uint64(1), of_word).of(start, end) + (end - start).astype(np.uint64))
-        first = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :])
-        out.append(mix(Rolling(word, of_window).of(first, first + width)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def _distinct(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct values, whether each occurs twice or more, and each input's place among them."""
-    distinct, place, count = np.unique(prints, return_inverse=True, return_counts=True)
-    return distinct, count > 1, place
-
-
-def removed_words(offsets: np.ndarray, data: np.ndarray, width: int, hit: np.ndarray):
-    """Yields (row, number of words, mask of removed words or None) for every row, given a flag for every window."""
-    done = 0
+        hashes, count = word_hashes(offsets[i : j + 1], data)
+        row = np.repeat(np.arange(i, j), count)
+        place, values = least_hashes(hashes, row, width)[2]
+        found.append(values.view(np.uint64))
+        owner.append(block[row[place]])
+    hashes, owners = np.concatenate(found), np.concatenate(owner)
+    return joined(hashes, owners, np.zeros(len(hashes), dtype=bool))
+
+
+def joined(hashes: np.ndarray, blocks: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order, each (hash, block) once; many also where it came more than once."""
+    order = np.lexsort((blocks, hashes))
+    hashes, blocks, many = hashes[order], blocks[order], many[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (blocks[1:] != blocks[:-1])
+    lead = np.flatnonzero(new)
+    size = np.diff(np.append(lead, len(hashes)))
+    return hashes[lead], blocks[lead], np.logical_or.reduceat(many, lead) | (size > 1) if len(lead) else many
+
+
+def level_rows(bucket: int, hashes: np.ndarray, blocks: np.ndarray, many: np.ndarray) -> list[dict]:
+    press = zstandard.ZstdCompressor(level=1).compress
+    return [
+        {"bucket": bucket, "n": len(hashes[i : i + ROW]), "payload": pack_sorted(hashes[i : i + ROW]), "blocks": press(blocks[i : i + ROW].astype("<i4").tobytes()), "many": np.packbits(many[i : i + ROW]).tobytes()}
+        for i in range(0, len(hashes), ROW)
+    ]
+
+
+def read_level(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All entries of one bucket, merged over its rows."""
+    unpress = zstandard.ZstdDecompressor().decompress
+    parts = [(unpack_sorted(r["payload"], r["n"]), np.frombuffer(unpress(r["blocks"]), "<i4"), np.unpackbits(np.frombuffer(r["many"], np.uint8), count=r["n"]).astype(bool)) for r in rows.to_pylist()]
+    return joined(*(np.concatenate(column) for column in zip(*parts, strict=True)))
+
+
+def candidates(offsets: np.ndarray, data: np.ndarray, width: int, repeated: np.ndarray) -> np.ndarray:
+    """A flag for every window, in the order of rows and positions: its least hash is among the sorted repeated ones."""
+    out = [np.zeros(0, dtype=bool)]
     for i, j in chunks(offsets):
-        bounds = offsets[i : j + 1] - offsets[i]
-        start, _, row = words_of(data[offsets[i] : offsets[j]], bounds)
-        cover = np.zeros(len(start) + 1, np.int64)
-        if len(start) >= width:
-            first = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :])
-            first, done = first[hit[done : done + len(first)]], done + len(first)
-            cover[first] += 1
-            np.subtract.at(cover, first + width, 1)
-        gone = np.cumsum(cover[:-1]) > 0
-        at = np.searchsorted(row, np.arange(j - i + 1))
-        for r in range(j - i):
-            mask = gone[at[r] : at[r + 1]]
-            yield i + r, len(mask), mask if mask.any() else None
+        hashes, count = word_hashes(offsets[i : j + 1], data)
+        least = least_hashes(hashes, np.repeat(np.arange(j - i), count), width)[1]
+        out.append(repeated[np.minimum(np.searchsorted(repeated, least), len(repeated) - 1)] == least if len(repeated) else np.zeros(len(least), dtype=bool))
+    return np.concatenate(out)
 
 
-def _kept(table: pa.Table, width: int, hit: np.ndarray, whole: bool = False) -> pa.Table:
-    """The rows of OUT, and what rides along. whole: a text that loses nothing comes back as it was, not as its words."""
+def digests(offsets: np.ndarray, data: np.ndarray, width: int, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """High and low words of the digests of the words of the windows that are hit."""
+    out, done, digest = [], 0, hashlib.blake2b
+    for r in range(len(offsets) - 1):
+        words = data[offsets[r] : offsets[r + 1]].tobytes().split()
+        windows = max(0, len(words) - width + 1)
+        first = np.flatnonzero(hit[done : done + windows])
+        done += windows
+        if len(first):
+            line = b" ".join(words)
+            end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            start = np.append(0, end[:-1] + 1)
+            out += [digest(line[a:b], digest_size=16).digest() for a, b in zip(start[first].tolist(), end[first + width - 1].tolist(), strict=True)]
+    pair = np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+    return pair[:, 0], pair[:, 1]
+
+
+def distinct_pairs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs (high, low), whether each occurs twice or more, and each input's place among them."""
+    order = np.lexsort((low, high))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    lead = np.flatnonzero(new)
+    return high[order[lead]], low[order[lead]], np.diff(np.append(lead, len(order))) > 1, place
+
+
+def _kept(table: pa.Table, width: int, hit: np.ndarray | None, whole: bool = False) -> pa.Table:
+    """The rows of OUT, and what rides along, given a flag for every window (None: none is hit).
+
+    whole: a text that loses nothing comes back as it was, not as its words."""
     offsets, data = raw_text(table["text"])
     ids = table["doc_id"].to_pylist()
     rows: dict[str, list] = {name: [] for name in OUT.names}
-    for r, n, mask in removed_words(offsets, data, width, hit):
+    done = 0
+    for r in range(len(ids)):
         words = data[offsets[r] : offsets[r + 1]].tobytes().split()
-        if mask is not None:
-            words = [words[k] for k in np.flatnonzero(~mask)]
+        n, windows = len(words), max(0, len(words) - width + 1)
+        first = np.flatnonzero(hit[done : done + windows]) if hit is not None else ()
+        done += windows
+        if len(first):
+            cover = np.zeros(n + 1, np.int64)
+            cover[first] += 1
+            np.subtract.at(cover, first + width, 1)
+            words = [words[k] for k in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
         text = b" ".join(words)
-        kept = table["text"][r].as_py() if whole and mask is None else text.decode("utf-8", "replace")
+        kept = table["text"][r].as_py() if whole and not len(first) else text.decode("utf-8", "replace")
         for name, value in zip(OUT.names, (ids[r], n, n - len(words), hashlib.sha256(text).hexdigest(), kept), strict=True):
             rows[name].append(value)
     out = pa.table(rows, schema=OUT)
     return out.append_column("carried", table["carried"]) if "carried" in table.column_names else out
 
 
+class FingerprintIndex:
+    """The history as levels of sorted immutable runs under `path`, for batches that arrive over time."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, width: int = WIDTH):
+        self.spark, self.path, self.buckets, self.width = spark, path.rstrip("/"), buckets, width
+        self.levels: list[str] = []
+        self.texts: list[str] = []
+        self.blocks = 0
+
+    def append(self, dealt: DataFrame) -> None:
+        """Adds a batch (block, doc_id, text) as a level of its own; compacts where levels have come together."""
+        buckets, width = self.buckets, self.width
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hashes, blocks, many = entries(*raw_text(batch["text"]), batch["block"].to_numpy().astype(np.int64), width)
+                edges = bucket_edges(hashes, buckets)
+                rows = [row for b in np.flatnonzero(np.diff(edges)) for i, j in [(edges[b], edges[b + 1])] for row in level_rows(int(b), hashes[i:j], blocks[i:j], many[i:j])]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=LEVEL)
+
+        self._write(dealt.select("block", "text").mapInArrow(write, LEVEL_DDL))
+        if len(self.levels) >= FANOUT:
+            self.compact()
+
+    def _write(self, rows: DataFrame) -> None:
+        def one(table: pa.Table) -> pa.Table:
+            return pa.Table.from_pylist(level_rows(table["bucket"][0].as_py(), *read_level(table)), schema=LEVEL)
+
+        level = f"{self.path}/level-{uuid.uuid4().hex}"
+        rows.repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(one, LEVEL_DDL).write.parquet(level)
+        self.levels.append(level)
+
+    def compact(self) -> None:
+        """Merges all levels into one, written beside them; they go when it is whole."""
+        if len(self.levels) > 1:
+            before, self.levels = self.levels, []
+            self._write(self.spark.read.parquet(*before))
+            for level in before:
+                deleted(self.spark, level)
+
+    def repeats(self, since: int = 0) -> DataFrame:
+        """block, bucket and the sorted hashes that repeat, for every block that holds any.
+
+        since: only hashes that a block with at least this number holds."""
+
+        def one(table: pa.Table) -> pa.Table:
+            bucket = table["bucket"][0].as_py()
+            hashes, blocks, many = read_level(table)
+            lead = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+            size = np.diff(np.append(lead, len(hashes)))
+            good = ((size > 1) | np.logical_or.reduceat(many, lead)) & (np.maximum.reduceat(blocks, lead) >= since)
+            hashes, blocks = hashes[np.repeat(good, size)], blocks[np.repeat(good, size)]
+            order = np.argsort(blocks, kind="stable")
+            hashes, blocks = hashes[order], blocks[order]
+            cut = np.append(np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])), len(blocks)) if len(blocks) else [0]
+            rows = [{"block": int(blocks[i]), "bucket": bucket, "n": int(j - i), "payload": pack_sorted(hashes[i:j])} for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            return pa.Table.from_pylist(rows, schema=REPEATS)
+
+        return self.spark.read.parquet(*self.levels).repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(one, REPEATS_DDL)
+
+    def judged(self, dealt: DataFrame, n: int, repeats: DataFrame, since: int = 0, whole: bool = False) -> DataFrame:
+        """The rows of OUT (and `carried`, where dealt has it) of blocks from `since` on, all of dealt being compared.
+
+        n: blocks of dealt, which is partitioned by them."""
+        width = self.width
+        carried = "carried" in dealt.columns
+        out_ddl = OUT_DDL + (f", carried {dealt.schema['carried'].dataType.simpleString()}" if carried else "")
+
+        def digest_runs(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+            parts = sorted((r["bucket"], r["n"], r["payload"]) for r in replies.to_pylist())
+            if not parts or not len(table):
+                return runs.RUN.empty_table()
+            offsets, data = raw_text(ordered(table)["text"])
+            hit = candidates(offsets, data, width, np.concatenate([unpack_sorted(payload, m) for _, m, payload in parts]))
+            high, low, multi, _ = distinct_pairs(*digests(offsets, data, width, hit))
+            block = key[0].as_py()
+            return pa.Table.from_pylist([*runs.write_runs(block, 1, high, multi, n, low), runs.passed_on(block, n, hit)], schema=runs.RUN)
+
+        def keep(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+            if key[0].as_py() < since or not len(table):
+                return pa.schema([*OUT, *([table.schema.field("carried")] if carried else [])]).empty_table()
+            table, got = ordered(table), replies.to_pylist()
+            hit = runs.read_flags(got)
+            if hit is not None:
+                hit[hit] = runs.read_replies(got, 1)[distinct_pairs(*digests(*raw_text(table["text"]), width, hit))[3]]
+            return _kept(table, width, hit, whole)
+
+        blocks = dealt.groupBy("block")
+        verified = runs.merged(blocks.cogroup(repeats.groupBy("block")).applyInArrow(digest_runs, runs.RUN_DDL), n)
+        return blocks.cogroup(verified.groupBy("block")).applyInArrow(keep, out_ddl)
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Kept words of a new batch: windows that the history holds, or the batch elsewhere, go. The batch joins the history."""
+        n, since = partitions_for(docs), self.blocks
+        dealt = in_blocks(docs, n).withColumn("block", F.col("block") + since)
+        place = f"{self.path}/texts-{since}"
+        dealt.sortWithinPartitions("block").write.parquet(place)
+        self.blocks += n
+        new = self.spark.read.parquet(place)
+        self.append(new)
+        repeats = stored(self.repeats(since))
+        everything = new
+        if self.texts:
+            held = self.spark.read.parquet(*self.texts)
+            everything = new.unionByName(held.join(repeats.where(F.col("block") < since).select("block").distinct(), "block", "left_semi"))
+        self.texts.append(place)
+        return self.judged(everything.repartition(n, "block"), n, repeats, since)
+
+
 def dedup(docs: DataFrame, width: int = WIDTH, carry: Sequence[str] = (), whole: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text: one row for each row of docs.
 
     carry: columns of docs that ride along, as one struct `carried`. whole: kept_text of a text that loses nothing is the
     text as it was."""
-    n = partitions_for(docs)
-    dealt = in_blocks(docs, n, carry)
-    out_ddl = OUT_DDL + (f", carried {dealt.schema['carried'].dataType.simpleString()}" if carry else "")
-
-    def first_runs(key: tuple, table: pa.Table) -> pa.Table:
-        table = ordered(table)
-        distinct, multi, _ = _distinct(window_prints(*raw_text(table["text"]), width, 0))
-        return pa.Table.from_pylist(runs.write_runs(key[0].as_py(), 0, distinct, multi, n), schema=runs.RUN)
-
-    def second_runs(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        table = ordered(table)
-        block, got = key[0].as_py(), replies.to_pylist()
-        offsets, data = raw_text(table["text"])
-        again = runs.read_replies(got, 0)
-        if not again.any():
-            return runs.RUN.empty_table()
-        prints = window_prints(offsets, data, width, 0)
-        hit = again[_distinct(prints)[2]]
-        del prints
-        distinct, multi, _ = _distinct(window_prints(offsets, data, width, 1)[hit])
-        rows = runs.write_runs(block, 1, distinct, multi, n)
-        flags = np.packbits(hit)
-        rows.append({"bucket": block % n, "block": block, "turn": 0, "n": -len(hit), "payload": flags.tobytes(), "multi": b""})
-        return pa.Table.from_pylist(rows, schema=runs.RUN)
-
-    def keep(_: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        table = ordered(table)
-        got = replies.to_pylist()
-        flags = [r for r in got if r["turn"] == 0]
-        offsets, data = raw_text(table["text"])
-        if not flags:
-            return _kept(table, width, _Never(), whole)
-        hit = np.unpackbits(np.frombuffer(flags[0]["bits"], np.uint8), count=-flags[0]["n"]).astype(bool)
-        place = _distinct(window_prints(offsets, data, width, 1)[hit])[2]
-        hit[hit] = runs.read_replies(got, 1)[place]
-        return _kept(table, width, hit, whole)
-
-    def merged(written: DataFrame) -> DataFrame:
-        return written.groupBy("bucket").applyInArrow(lambda table: runs.merge_runs(table), runs.REPLY_DDL)
-
-    blocks = dealt.groupBy("block")
-    first = merged(blocks.applyInArrow(first_runs, runs.RUN_DDL))
-    second = merged(blocks.cogroup(first.groupBy("block")).applyInArrow(second_runs, runs.RUN_DDL))
-    return blocks.cogroup(second.groupBy("block")).applyInArrow(keep, out_ddl)
+    spark, n = docs.sparkSession, partitions_for(docs)
+    index = FingerprintIndex(spark, f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}", max(1, n // 2), width)
+    blocks = docs.select(block_of(n), F.col("text").cast("string").alias("text"))
+    for batch in range(BATCHES):
+        index.append(blocks.where(F.col("block") % BATCHES == batch))
+    return index.judged(in_blocks(docs, n, carry), n, index.repeats(), whole=whole)
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -156,74 +306,3 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     if "n_chars" in columns:
         columns["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
     return found.select(*(columns[name].alias(name) for name in docs.columns))
-
-
-class _Never:
-    """A flag array of any length without a hit."""
-
-    def __getitem__(self, at: slice) -> np.ndarray:
-        return np.zeros(at.stop - at.start, dtype=bool)
-
-
-class FingerprintIndex:
-    """History of window fingerprints as immutable sorted runs under `path`, for batches that arrive over time."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, width: int = WIDTH):
-        self.spark, self.path, self.buckets, self.width = spark, path.rstrip("/"), buckets, width
-        self.levels: list[str] = []
-
-    def _history(self) -> DataFrame | None:
-        return self.spark.read.parquet(*self.levels) if self.levels else None
-
-    def add(self, docs: DataFrame, batch: int) -> DataFrame:
-        """Kept words of the batch: windows seen in the history, or elsewhere in the batch, go. Then appends the batch.
-
-        The history keeps both fingerprints' runs; a window goes when both agree. batch must be new for each call."""
-        buckets, width = self.buckets, self.width
-        n = partitions_for(docs)
-        dealt = in_blocks(docs, n).groupBy("block")
-
-        def write(key: tuple, table: pa.Table) -> pa.Table:
-            table = ordered(table)
-            rows = []
-            for turn in (0, 1):
-                distinct, multi, _ = _distinct(window_prints(*raw_text(table["text"]), width, turn))
-                rows += runs.write_runs(key[0].as_py(), turn, distinct, multi, buckets)
-            return pa.Table.from_pylist(rows, schema=runs.RUN)
-
-        def keep(_: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-            table = ordered(table)
-            offsets, data = raw_text(table["text"])
-            got, hit = replies.to_pylist(), None
-            for turn in (0, 1):
-                place = _distinct(window_prints(offsets, data, width, turn))[2]
-                flag = runs.read_replies(got, turn)[place]
-                hit = flag if hit is None else hit & flag
-            return _kept(table, width, hit)
-
-        level = f"{self.path}/run-{batch:08d}-{uuid.uuid4().hex[:8]}"
-        written = dealt.applyInArrow(write, runs.RUN_DDL)
-        written.withColumn("batch", F.lit(batch)).sortWithinPartitions("bucket", "turn").write.parquet(level)
-        new, old = self.spark.read.parquet(level).drop("batch"), self._history()
-        both = new if old is None else new.unionByName(old.drop("batch").withColumn("block", F.lit(-1)))
-        merge = lambda table: runs.merge_runs(table)
-        replies = both.groupBy("bucket", "turn").applyInArrow(merge, runs.REPLY_DDL).where("block >= 0")
-        self.levels.append(level)
-        return dealt.cogroup(replies.groupBy("block")).applyInArrow(keep, OUT_DDL)
-
-    def compact(self) -> None:
-        """Merges all runs of each bucket into one, written beside them; readers switch when it is whole."""
-
-        def one(table: pa.Table) -> pa.Table:
-            rows = table.to_pylist()
-            whole = np.unique(np.concatenate([runs.unpack_sorted(r["payload"], r["n"]) for r in rows]))
-            row = {"bucket": rows[0]["bucket"], "block": -1, "turn": rows[0]["turn"], "n": len(whole), "payload": runs.pack_sorted(whole), "multi": bytes((len(whole) + 7) // 8)}
-            return pa.Table.from_pylist([row], schema=runs.RUN)
-
-        history = self._history()
-        if history is None:
-            return
-        level = f"{self.path}/level-{uuid.uuid4().hex[:8]}"
-        merged = history.drop("batch").groupBy("bucket", "turn").applyInArrow(one, runs.RUN_DDL)
-        merged.withColumn("batch", F.lit(-1)).write.parquet(level)
-        self.levels = [level]

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from tessera.llm import runs
-from tessera.llm.common import Rolling, chunks, in_blocks, mix, ordered, partitions_for, raw_text
+from tessera.llm.common import Rolling, chunks, in_blocks, mix, ordered, partitions_for, raw_text, slide
 
 LENGTH, GRAM = 50, 18
 #: An anchor lies so far into a string at most; the strings around it start 0 to REACH bytes before it.
@@ -53,16 +53,6 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 OUT_DDL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
-def _slide(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
-    """op over every width consecutive values, by doubling."""
-    have = 1
-    while have * 2 <= width:
-        values = op(values[: len(values) - have], values[have:])
-        have *= 2
-    rest = width - have
-    return op(values[: len(values) - rest], values[rest:]) if rest else values
-
-
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the grams that are least in some string of LENGTH bytes, and their hashes. Rows lie end to end."""
     places, hashes = [], []
@@ -71,11 +61,11 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         segment = data[a : a + STRETCH + LENGTH - 1]
         at = np.arange(len(segment) - GRAM + 1)
         h = mix(Rolling(segment.astype(np.uint64) + np.uint64(1), BASE).of(at, at + GRAM)) | np.uint64(1)
-        least = _slide(h, grams, np.minimum)
+        least = slide(h, grams, np.minimum)
         padded = np.zeros(len(least) + 2 * (grams - 1), np.uint64)
         padded[grams - 1 : grams - 1 + len(least)] = least
         # A gram is an anchor if the least hash of some string that holds it is its own; the greatest such least is.
-        hit = np.flatnonzero(_slide(padded, grams, np.maximum)[: len(h)] == h)
+        hit = np.flatnonzero(slide(padded, grams, np.maximum)[: len(h)] == h)
         places.append(a + hit)
         hashes.append(h[hit])
     if not places:
@@ -177,7 +167,7 @@ class Suffixes:
             rest = self.after[i:j][(column >= lcp[:, None]) & (column < self.right[i:j, None])]
             parts = (lcp.astype(np.uint8), self.right[i:j], self.left[i:j], planes(self.ids[i:j]), self.before[i:j].T.ravel(), rest)
             packed = zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
-            rows.append({"bucket": int(b), "block": block, "turn": 1, "n": j - i, "payload": packed, "multi": b""})
+            rows.append({"bucket": int(b), "block": block, "turn": 1, "n": j - i, "payload": packed, "low": b"", "multi": b""})
         return rows
 
 
@@ -396,15 +386,15 @@ def dedup(docs: DataFrame) -> DataFrame:
         hit = block.matched(again)
         block.keep(hit)
         rows = Suffixes(block, ranges).runs(number, ranges)
-        rows.append({"bucket": number % n, "block": number, "turn": 0, "n": -len(hit), "payload": np.packbits(hit).tobytes(), "multi": b""})
+        rows.append(runs.passed_on(number, n, hit))
         return pa.Table.from_pylist(rows, schema=runs.RUN)
 
     def keep(_: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         block, got = Block(table), replies.to_pylist()
         edge = np.zeros(len(block.data) + 1, np.int8)  # at most REACH + 1 strings begin or end at a byte
-        hits = [r for r in got if r["turn"] == 0]
-        if hits:
-            block.keep(np.unpackbits(np.frombuffer(hits[0]["bits"], np.uint8), count=-hits[0]["n"]).astype(bool))
+        flags = runs.read_flags(got)
+        if flags is not None:
+            block.keep(flags)
             suffixes, masks = Suffixes(block, ranges), _masks(got)
             ids, own = block.ids[block.row], masks[suffixes.entry]
             room = np.minimum(block.offsets[block.row + 1] - block.place, LENGTH), np.minimum(block.place - block.offsets[block.row], REACH)
@@ -416,6 +406,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 edge[start + LENGTH] -= 1
         return _remove(block, np.cumsum(edge[:-1], dtype=np.int16) > 0)
 
-    first = blocks.applyInArrow(first_runs, runs.RUN_DDL).groupBy("bucket").applyInArrow(lambda t: runs.merge_runs(t), runs.REPLY_DDL)
-    second = blocks.cogroup(first.groupBy("block")).applyInArrow(suffix_runs, runs.RUN_DDL).groupBy("bucket").applyInArrow(lambda t: _merge_range(t), runs.REPLY_DDL)
+    first = runs.merged(blocks.applyInArrow(first_runs, runs.RUN_DDL), n)
+    suffixes = blocks.cogroup(first.groupBy("block")).applyInArrow(suffix_runs, runs.RUN_DDL)
+    second = suffixes.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(lambda t: _merge_range(t), runs.REPLY_DDL)
     return blocks.cogroup(second.groupBy("block")).applyInArrow(keep, OUT_DDL)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -104,15 +105,47 @@ def test_substring_dedup_leaves_blocks_without_repeats(spark):
 
 
 def test_fingerprint_index_is_incremental(spark, tmp_path):
-    a = " ".join(f"w{i}" for i in range(50))
-    b = " ".join(f"v{i}" for i in range(50))
-    index = substring_dedup.FingerprintIndex(spark, str(tmp_path), buckets=4)
-    ddl = "doc_id long, text string"
-    first = {r["doc_id"]: r["n_removed"] for r in index.add(spark.createDataFrame([(1, a)], ddl), 1).collect()}
-    second = {r["doc_id"]: r["n_removed"] for r in index.add(spark.createDataFrame([(2, a), (3, b)], ddl), 2).collect()}
-    index.compact()
-    third = {r["doc_id"]: r["n_removed"] for r in index.add(spark.createDataFrame([(4, b), (5, "new " + a), (6, "x")], ddl), 3).collect()}
-    assert first == {1: 0} and second == {2: 50, 3: 0} and third == {4: 50, 5: 50, 6: 0}
+    """Each batch against brute force over itself and all batches before it, across compactions."""
+    rng = random.Random(8)
+    passages = [" ".join(f"{k}p{i}" for i in range(rng.randint(36, 70))) for k in range(4)]
+    index, seen, doc_id = substring_dedup.FingerprintIndex(spark, str(tmp_path), buckets=4), [], 0
+    for _ in range(4):
+        batch = []
+        for _ in range(12):
+            parts = [" ".join(f"w{rng.random()}" for _ in range(rng.randint(0, 50))), rng.choice([*passages, ""]), "end"]
+            batch.append((doc_id, " ".join(parts)))
+            doc_id += 1
+        seen += batch
+        got = Counter(tuple(r)[:4] for r in index.add(spark.createDataFrame(batch, "doc_id long, text string")).collect())
+        new = {r[0] for r in batch}
+        assert got == Counter({k: n for k, n in brute_substring(seen).items() if k[0] in new})
+    assert len(index.levels) == 1
+    assert index.add(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_substring_dedup_tells_words_apart(spark):
+    """Words that collide in every polynomial modulo 2**64 (Thue-Morse) are different words."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    rest = " ".join(["same"] * 20 + [f"w{i}" for i in range(14)])
+    rows = [(1, f"{rest} {word}"), (2, f"{rest} {other}"), (3, f"{word} {rest}")]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {1: 0, 2: 0, 3: 0}
+
+
+def test_long_texts(spark):
+    """Texts beyond a kernel's chunk, with repeats across its edges, against brute force."""
+    rng = random.Random(9)
+    body = [f"w{rng.randint(0, 10**9)}" for _ in range(60_000)]
+    far = " ".join(body[40_000:40_060])
+    rows = [(1, " ".join(body)), (2, "x " + far + " y"), (3, " ".join(body[:30_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r)[:4] for r in substring_dedup.dedup(docs).collect()) == brute_substring(rows)
+    assert Counter(tuple(r)[:5] for r in suffix_dedup.dedup(docs).drop("kept").collect()) == brute_suffix(rows)
+    prints = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(docs).collect()}
+    assert prints == {i: f"{brute_print(t):016x}" for i, t in rows}
 
 
 def brute_print(text, shingle=3):
