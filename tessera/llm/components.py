@@ -78,9 +78,9 @@ def components(edges: DataFrame, contracted: bool = False) -> DataFrame:
 
 
 def to_planes(prints: np.ndarray) -> np.ndarray:
-    """64 bit planes of n words: plane b holds bit b of every word, 64 words to one machine word."""
-    n = len(prints)
-    padded = np.zeros(-(-n // 64) * 64, np.uint64)
-    padded[:n] = prints
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes of n fingerprints of one or more words: plane b holds bit b of every one, 64 to a machine word."""
+    prints = prints.reshape(len(prints), -1)
+    padded = np.zeros((-(-len(prints) // 64) * 64, prints.shape[1]), np.uint64)
+    padded[: len(prints)] = prints
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)

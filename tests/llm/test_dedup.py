@@ -7,6 +7,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 import xxhash
 
 from tessera.llm import simhash, substring_dedup, suffix_dedup
@@ -148,13 +150,26 @@ def test_long_texts(spark):
     assert prints == {i: f"{brute_print(t):016x}" for i, t in rows}
 
 
-def brute_print(text, shingle=3):
+def shingles(text, shingle):
     ws = [w.encode() for w in WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))]
-    if not ws:
-        return 0
-    grams = [b" ".join(ws[i : i + shingle]) for i in range(max(1, len(ws) - shingle + 1))]
-    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return [b" ".join(ws[i : i + shingle]) for i in range(max(1, len(ws) - shingle + 1))] if ws else []
+
+
+def spread(h):
+    """The finaliser of the fingerprints' further words."""
+    m = (1 << 64) - 1
+    h = ((h ^ h >> 31) * 0x9FB21C651E98DF25) & m
+    h = ((h ^ h >> 29) * 0xD6E8FEB86659FD93) & m
+    return h ^ h >> 32
+
+
+def brute_print(text, rule=simhash.STRICT):
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in shingles(text, rule.shingle)]
+    out = 0
+    for w in range(rule.wide):
+        own = [spread((h + w) & ((1 << 64) - 1)) if w else h for h in hashes]
+        out = out << 64 | sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
+    return out
 
 
 def brute_components(prints, radius=3):
@@ -175,42 +190,38 @@ def brute_components(prints, radius=3):
     return groups
 
 
-def test_simhash(docs, rows, empty):
-    prints = [brute_print(r[1]) for r in rows]
+@pytest.mark.parametrize("rule", [simhash.STRICT, simhash.NEAR])
+def test_simhash(docs, rows, empty, rule):
+    prints = [brute_print(r[1], rule) for r in rows]
     expected = Counter()
-    for members in brute_components(prints).values():
+    for members in brute_components(prints, rule.radius).values():
         least = min((rows[i][0] for i in members if rows[i][0] is not None), default=None)
-        expected.update((rows[i][0], f"{prints[i]:016x}", least) for i in members)
-    assert Counter(tuple(r) for r in simhash.near_duplicates(docs).collect()) == expected
-    assert simhash.near_duplicates(empty).count() == 0
-
-
-def test_simhash_survivors(docs, rows, empty):
-    prints = [brute_print(r[1]) for r in rows]
-    expected = Counter()
-    for members in brute_components(prints).values():
-        order = lambda i: (rows[i][0] is None, rows[i][0] or 0, prints[i] - (1 << 64 if prints[i] >> 63 else 0))
-        best = min(members, key=order)
-        expected[(rows[best][0], f"{prints[best]:016x}")] += 1
-    got = simhash.survivors(docs)
+        expected.update((rows[i][0], f"{prints[i]:0{16 * rule.wide}x}", least) for i in members)
+    assert Counter(tuple(r) for r in simhash.near_duplicates(docs, rule).collect()) == expected
+    assert simhash.near_duplicates(empty, rule).count() == 0
+
+
+@pytest.mark.parametrize("rule", [simhash.STRICT, simhash.NEAR])
+def test_simhash_survivors(docs, rows, empty, rule):
+    """One row of each component, of its least id; which of several texts with that id stays is open here."""
+    prints = [brute_print(r[1], rule) for r in rows]
+    choices = []
+    for members in brute_components(prints, rule.radius).values():
+        least = min((rows[i][0] is None, rows[i][0] or 0) for i in members)
+        choices.append({(rows[i][0], rows[i][1]) for i in members if (rows[i][0] is None, rows[i][0] or 0) == least})
+    got = simhash.survivors(docs, rule)
     assert got.columns == docs.columns
-    assert Counter((r["doc_id"], f"{brute_print(r['text']):016x}") for r in got.collect()) == expected
-    assert simhash.survivors(empty).count() == 0
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert sum(kept.values()) == len(choices) and all(sum(kept[c] for c in group) == 1 for group in choices)
+    assert simhash.survivors(empty, rule).count() == 0
 
 
-def test_simhash_links_survive_large_keys(spark, monkeypatch):
-    """Random fingerprints and neighbours of them, by planes and by chunk pairs."""
-    import numpy as np
+def signed(x):
+    return x - (1 << 64 if x >> 63 else 0)
 
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
-    crowd = np.uint64(0xABCD) << np.uint64(40) | rng.integers(0, 1 << 12, 200, dtype=np.uint64)
-    near = [b ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, k, replace=False))) for b in base for k in (1, 2, 3, 4)]
-    prints = sorted({int(x) for x in [*base, *near, *crowd]})
-    monkeypatch.setattr(simhash, "SPLIT", 64)
-    signed = [x - (1 << 64 if x >> 63 else 0) for x in prints]
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "print long")).collect()
-    up = {x: x for x in signed}
+
+def spanned(nodes, edges):
+    up = {x: x for x in nodes}
 
     def find(x):
         while up[x] != x:
@@ -218,7 +229,68 @@ def test_simhash_links_survive_large_keys(spark, monkeypatch):
         return x
 
     for u, v in edges:
-        assert ((u ^ v) & ((1 << 64) - 1)).bit_count() <= 64
         up[find(u)] = find(v)
-    got = {frozenset(prints[i] for i in range(len(signed)) if find(signed[i]) == r) for r in {find(x) for x in signed}}
-    assert got == {frozenset(prints[i] for i in g) for g in brute_components(prints).values()}
+    return {frozenset(x for x in nodes if find(x) == r) for r in map(find, nodes)}
+
+
+@pytest.mark.parametrize("crowd", [4, 1024])
+def test_simhash_links_survive_large_keys(spark, monkeypatch, crowd):
+    """Random fingerprints and neighbours of them, pooled and in crowds, by chunk pairs."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    dense = np.uint64(0xABCD) << np.uint64(40) | rng.integers(0, 1 << 12, 200, dtype=np.uint64)
+    close = [b ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, k, replace=False))) for b in base for k in (1, 2, 3, 4)]
+    prints = sorted({int(x) for x in [*base, *close, *dense]})
+    monkeypatch.setattr(simhash, "SPLIT", 64)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    edges = simhash.links(spark.createDataFrame([(signed(x),) for x in prints], "node long")).collect()
+    assert spanned([signed(x) for x in prints], edges) == {frozenset(signed(prints[i]) for i in g) for g in brute_components(prints).values()}
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 4, 48])
+def test_planes_count_distances(radius):
+    """Carry-save counters against popcounts, for many queries over one block and for a query for each candidate."""
+    rng = np.random.default_rng(radius)
+    wide = 4 if radius > 4 else 1
+    stored = rng.integers(0, 1 << 63, (150, wide), dtype=np.uint64)
+    queries = stored[rng.integers(0, 150, 20)].copy()
+    for i in range(20):
+        for bit in rng.choice(63, min(60, i % (2 * radius + 2)), replace=False):
+            queries[i, i % wide] ^= np.uint64(1) << np.uint64(bit)
+    distance = np.bitwise_count(stored[None] ^ queries[:, None]).sum(axis=2)
+    planes = simhash.to_planes(stored)
+    bits = np.unpackbits(simhash.to_planes(queries).view(np.uint8), axis=1, bitorder="little", count=20).astype(np.uint64) * np.uint64((1 << 64) - 1)
+    got = simhash.near(planes, bits[:, :, None], radius)
+    assert all((simhash._flags(got[i], 150) == (distance[i] <= radius)).all() for i in range(20))
+    each = np.resize(queries, (150, wide))
+    got = simhash.near(planes, simhash.to_planes(each)[:, None, :], radius)
+    assert (simhash._flags(got[0], 150) == (np.bitwise_count(stored ^ each).sum(axis=1) <= radius)).all()
+
+
+def test_links_come_from_the_planes(monkeypatch):
+    """Small keys too are compared by the bit planes, and by nothing else."""
+    served = []
+    real = simhash.near
+    monkeypatch.setattr(simhash, "near", lambda planes, *rest: served.append(planes.shape) or real(planes, *rest))
+    prints = np.array([[5], [7], [1 << 60], [5], [6]], np.uint64)
+    u, v = simhash.pooled_forest(prints, np.array([0, 0, 0, 1, 1]), 3)
+    assert served and {(int(a), int(b)) for a, b in zip(u, v, strict=True)} == {(1, 0), (2, 0), (4, 3)}
+
+
+def test_near_rule_finds_near_copies(spark):
+    """Of pairs of texts with a likeness of 0.8 or more nearly all come together; of a likeness below 0.5 none do."""
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for k in range(150):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(60, 300))]
+        copy = list(base)
+        for at in rng.sample(range(len(base)), max(1, len(base) // rng.choice((10, 60, 90)))):
+            copy[at] = f"x{rng.randint(0, 10**6)}"
+        a, b = set(shingles(" ".join(base), 5)), set(shingles(" ".join(copy), 5))
+        pairs.append((2 * k, len(a & b) / len(a | b)))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), simhash.NEAR).collect()}
+    like = [i for i, j in pairs if j >= 0.8]
+    assert len(like) > 50 and sum(got[i] == got[i + 1] for i in like) >= 0.97 * len(like)
+    assert not any(got[i] == got[i + 1] for i, j in pairs if j < 0.5)
+    assert all(c in (i, i - 1) for i, c in got.items())
