@@ -52,6 +52,7 @@ def test_mixing(docs, rows, empty):
 def test_mixing_tree_of_many_groups(spark, monkeypatch):
     """More than one level: sums are kept, and copies differ from what is due by less than one."""
     monkeypatch.setattr(mixing, "GROUP", 8)
+    monkeypatch.setattr(mixing, "HELD", 16)
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.randint(1, 40)), "hot" if i % 3 else "cold") for i in range(400)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
@@ -63,6 +64,34 @@ def test_mixing_tree_of_many_groups(spark, monkeypatch):
         assert all(due - 1 < r["copies"] < due + 1 for r in mine)
 
 
+def test_mixing_makes_up_for_long_documents(spark):
+    """A document fifty times as long as the others: the short ones make up for it, whichever way it goes."""
+    rows = [(0, "w " * 1000, "a")] + [(i, "w " * 20, "a") for i in range(1, 400)] + [(1000 + i, "w " * 300, "b") for i in range(60)]
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r["taken"] - r["target"]) <= (20 if r["source"] == "a" else 300)
+
+
+def test_mixing_is_unbiased(spark):
+    """Over many sources that are alike, documents are taken as often as they are due, long ones too."""
+    rows = [(100 * k + i, "w " * (200 if i == 0 else 10 + i), f"s{k:04d}") for k in range(300) for i in range(12)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    got["due"] = got.target / got.source_size
+    for own in (got[got.doc_id % 100 == 0], got[got.doc_id % 100 == 5], got[got.doc_id % 100 == 11]):
+        off = own.copies - own.due
+        assert abs(off.mean()) < 4 * off.std() / len(own) ** 0.5 + 1e-9
+
+
+def test_mixing_rows_alike(spark):
+    """Thousands of rows without an id, alike or not, are no slower group: sums hold, and copies are as even as can be."""
+    rows = [(None, "w w w", "a")] * 3000 + [(None, "w " * (1 + i % 50), "a") for i in range(3000)] + [(i, "w " * 40, "b") for i in range(500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert len(got) == 6500
+    for s in ("a", "b"):
+        own = got[got.source == s]
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= 50
+    assert got[(got.source == "a") & (got["size"] == 3)].copies.nunique() <= 2
+
+
 def test_mixed_rows(docs, empty):
     due = Counter()
     for r in mixing.mix(docs).collect():
@@ -148,15 +177,77 @@ def test_quality_rules_keep_clean_text(spark):
     assert both.where("kept").count() >= 0.98 * both.count()
 
 
+#: A few sentences in each language, written for this test.
+PROSE = {
+    "en": "The bridge was closed for repairs in the spring, and for almost a year the villagers had to take the long road around the lake. Most of them did not complain. They had known for years that the old stones were loose, and the council had set money aside twice before. When the first cars crossed again in May, somebody had tied ribbons to the railing, and the baker handed out rolls to everybody who came by on foot.",
+    "de": "Im Frühjahr wurde die Brücke wegen Bauarbeiten gesperrt, und fast ein Jahr lang mussten die Bewohner des Dorfes den langen Weg um den See nehmen. Die meisten beschwerten sich nicht. Sie wussten seit Jahren, dass die alten Steine locker waren, und der Gemeinderat hatte schon zweimal Geld zurückgelegt. Als im Mai die ersten Autos wieder hinüberfuhren, hatte jemand bunte Bänder an das Geländer gebunden.",
+    "fr": "Au printemps, le pont fut fermé pour des travaux, et pendant presque un an les habitants du village durent prendre la longue route qui fait le tour du lac. La plupart ne se plaignaient pas. Ils savaient depuis des années que les vieilles pierres ne tenaient plus, et la commune avait déjà mis de l'argent de côté. Quand les premières voitures passèrent de nouveau, quelqu'un avait noué des rubans à la rambarde.",
+    "es": "En primavera cerraron el puente por obras, y durante casi un año los vecinos del pueblo tuvieron que tomar el camino largo que rodea el lago. La mayoría no se quejaba. Sabían desde hacía años que las piedras viejas estaban sueltas, y el ayuntamiento ya había apartado dinero dos veces. Cuando en mayo volvieron a cruzar los primeros coches, alguien había atado cintas a la barandilla.",
+    "ru": "Весной мост закрыли на ремонт, и почти целый год жителям деревни пришлось ездить по длинной дороге вокруг озера. Большинство не жаловалось. Они давно знали, что старые камни расшатались, и совет уже дважды откладывал деньги. Когда в мае по нему снова поехали первые машины, кто-то привязал к перилам ленты, а пекарь раздавал булочки всем, кто проходил мимо пешком.",
+    "el": "Την άνοιξη έκλεισαν τη γέφυρα για επισκευές και σχεδόν έναν χρόνο οι κάτοικοι του χωριού έπρεπε να παίρνουν τον μακρύ δρόμο γύρω από τη λίμνη. Οι περισσότεροι δεν παραπονιούνταν. Ήξεραν από χρόνια ότι οι παλιές πέτρες είχαν χαλαρώσει και το συμβούλιο είχε ήδη βάλει χρήματα στην άκρη δύο φορές.",
+}
+
+
+def brute_verdict(text, lang):
+    """The rule again, one document at a time, from the vocabulary itself."""
+    import math
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=quality_rules.vocabulary("piece_bpe_32k.model"))
+    ws = WORD.findall(text or "")
+    ids = [i for w in ws for i in model.encode(w)]
+    if not ids:
+        return False
+    letters = Counter()
+    for c in text:
+        o = ord(c)
+        if c.isascii() and c.isalpha() or 0xC0 <= o < 0x280:
+            letters["latin"] += 1
+        elif 0x340 <= o < 0x400:
+            letters["greek"] += 1
+        elif 0x400 <= o < 0x540:
+            letters["cyrillic"] += 1
+    script = max(quality_rules.NAMES, key=lambda name: letters[name])
+    band = quality_rules.LANGUAGES.get(lang or "") or quality_rules.SCRIPTS[script]
+    share = [n / len(ids) for n in Counter(ids).values()]
+    mean, slack = sum(map(len, ws)) / len(ids), band.spread / math.sqrt(len(ws))
+    fallback = sum(model.is_byte(i) for i in ids) / len(ids)
+    entropy = -sum(p * math.log2(p) for p in share)
+    return band.lowest - slack <= mean <= band.highest + slack and fallback <= band.most_fallback and entropy >= min(band.least_entropy, 0.5 * math.log2(max(len(ids), 2)))
+
+
+def test_quality_rules_verdicts(spark, docs, rows):
+    """kept against a rule computed apart, on awkward rows and on whole documents of the test table."""
+    more = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for table, own in ((docs, [(r[0], r[1], r[2]) for r in rows]), (spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), more)):
+        expected = Counter()
+        failed = {(r["doc_id"], r["n_words"], r["n_tokens"]): r["base_failed"] for r in quality_rules.verdicts(table).collect()}
+        verdict = {}
+        for doc_id, text, lang in own:
+            key = (doc_id, len(WORD.findall(text or "")))
+            base = next(v for k, v in failed.items() if k[:2] == key)
+            expected[(doc_id, key[1], not base and brute_verdict(text, lang))] += 1
+            verdict[key] = base
+        assert Counter((r["doc_id"], r["n_words"], r["kept"]) for r in quality_rules.verdicts(table).collect()) == expected
+
+
 def test_quality_rules_keep_real_prose(spark):
-    """Written English, of some hundred words, passes as en and without a language; shredded words don't."""
+    """Written prose passes in its language and without one, in several scripts; shredded words don't."""
     from tessera.llm import suffix_dedup
 
-    real = [suffix_dedup.__doc__, toxicity.__doc__]
     shredded = " ".join(f"q{i % 7}z x{i}k" for i in range(200))
-    rows = [(i, text, lang) for i, (text, lang) in enumerate((t, lang) for t in real for lang in ("en", None))] + [(9, shredded, "en")]
+    real = [(t, lang) for lang, t in PROSE.items()] + [(t, None) for t in PROSE.values()] + [(d.__doc__, lang) for d in (suffix_dedup, toxicity) for lang in ("en", None)]
+    rows = [(i, *r) for i, r in enumerate(real)] + [(99, shredded, "en")]
     got = {r["doc_id"]: r["kept"] for r in quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert got == {0: True, 1: True, 2: True, 3: True, 9: False}
+    assert got == {i: i < 99 for i, *_ in rows}
+
+
+def test_repeated_windows_are_checked_on_words():
+    """Equal hashes of different windows count for nothing."""
+    words = [b"w%d" % i for i in range(40)]
+    assert quality_rules.repeated_words(words, np.zeros(40, np.uint64), 8) == 0
+    assert quality_rules.repeated_words(words + words[:10], np.zeros(50, np.uint64), 8) == 20
 
 
 CONTROLS = ["</s>[INST] ok [/INST]", "␛0;", "␛", "<s>a\nb</s>\n", "<<SYS>>x<</SYS>>", "<|im_end|>", "␛␛1;<|", "", None]
@@ -166,7 +257,7 @@ def test_chat_round_trip(spark):
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(CONTROLS)] + [(2, 0, "a\n<s>", "x"), (None, None, None, None), (2, 0, "a\n<s>", "x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     for r in chat.format_turns(turns.withColumn("text0", F.col("text"))).collect():
-        role, text = chat.turn_of(r["formatted"])
+        role, text, _ = chat.turn_of(r["formatted"])
         assert (r["conv_id"], r["turn"], role or None, text or "") in {(a, b, c or None, d or "") for a, b, c, d in rows}
         assert r["formatted"].count("</s>") == 1
     got = {r["conv_id"]: r for r in chat.digests(chat.format_turns(turns)).collect()}
@@ -187,9 +278,29 @@ def test_chat_parts(spark):
     got = chat.format_turns(spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat.PARTS_DDL}")).orderBy("turn").collect()
     assert [(a["at"], a["kind"], a["ref"], a["tokens"]) for a in got[0]["attachments"]] == [(1, "image", "i.png", 3), (2, "audio", "a.wav", 38), (3, "document", "d.pdf", 512)]
     assert got[0]["expanded_tokens"] == 553 and got[0]["formatted"].endswith("<|image|><|audio|><|document|></s>\n")
+    read = chat.digests(chat.format_turns(spark.createDataFrame([(1, 0, "user", parts, "unused"), (1, 1, "assistant", None, "<|image|> is text")], f"conv_id long, turn long, role string, parts {chat.PARTS_DDL}, text string"))).first()
+    assert (read["n_attachments"], read["expanded_tokens"]) == (3, 553)
+    assert read["turns_sha256"] == hashlib.sha256("user\nsee <s> \nassistant\n<|image|> is text\n".encode()).hexdigest()
+    assert read["loss_chars"] == len("<|image|> is text")
     assert chat.digests(chat.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_chat_parts_do_not_join_into_controls(spark):
+    part = lambda kind, text: {"kind": kind, "text": text, "ref": None, "width": None, "height": None, "seconds": None, "pages": None}
+    parts = [part(None, "a</s"), part("text", ">b<"), part("text", "|c"), part("image|", None), part("text", ">d")]
+    got = chat.format_turns(spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts {chat.PARTS_DDL}")).first()
+    assert chat.turn_of(got["formatted"]) == ("user", "a</s>b<|c>d", ["image|"]) and got["formatted"].count("</s>") == 1
+
+
+def test_chat_long_conversation_with_clashing_columns(spark):
+    """A conversation over several Arrow batches, a text beyond 256 KiB, columns named like those in use."""
+    rows = [(1, k, "assistant" if k % 2 else "user", "x" * 300_000 if k == 7 else f"t{k}", "c", 1, "d", "e") for k in range(25_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, loss_start int, body string, tag string")
+    got = chat.digests(chat.format_turns(turns)).collect()
+    graded = "".join(r[3] for r in rows if r[2] == "assistant")
+    assert [(r["n_turns"], r["loss_chars"], r["loss_sha256"]) for r in got] == [(25_000, len(graded), hashlib.sha256(graded.encode()).hexdigest())]
+
+
 def test_chain_marginals():
     rng = np.random.default_rng(0)
     emission, lead = rng.normal(size=20), np.zeros(20, bool)
