@@ -1,7 +1,9 @@
 """Chat formatting of typed content parts (operator 9).
 
-A turn is a role and ordered parts: text, image, audio or document. The visitor flattens them into one text, where a
-part that is not text leaves a placeholder, and records each attachment's order, reference and expanded token count.
+A turn is a role and ordered parts: text, image, audio or document; a turn that comes as a plain text is one text part.
+The visitor flattens them into one text, where a part that is not text leaves a placeholder, and records each attachment's
+order, reference and expanded token count. Reading back splits placeholders from text again and holds them against what
+was recorded.
 The template then marks the turn as `<s>ROLE\\nTEXT</s>\\n`. Control strings inside roles and texts are escaped by a
 numbered escape that no control string can be part of, so that a formatted conversation splits into its turns in one
 way only and every text comes back unchanged. The loss mask is the span of each assistant text.
@@ -28,11 +30,13 @@ ESCAPE = "␛"
 #: The escape itself comes first. A newline is a control string in roles only.
 CONTROLS = (ESCAPE, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>")
 NEWLINE = len(CONTROLS)
+#: Between two text parts, whose ends must not make a control string together.
+BOUNDARY = f"{ESCAPE}{NEWLINE + 1};"
 ASSISTANT = "assistant"
 PARTS_DDL = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
-OUT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-OUT_DDL = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+OUT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_attachments", pa.int64()), ("expanded_tokens", pa.int64())])
+OUT_DDL = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_attachments bigint, expanded_tokens bigint"
 
 
 def escaped(text: Column, role: bool = False) -> Column:
@@ -41,8 +45,8 @@ def escaped(text: Column, role: bool = False) -> Column:
     return F.replace(text, F.lit("\n"), F.lit(f"{ESCAPE}{NEWLINE};")) if role else text
 
 
-_BACK = re.compile(f"{ESCAPE}(\\d);")
-_PLAIN = (*CONTROLS, "\n")
+_BACK = re.compile(f"{ESCAPE}(\\d+);")
+_PLAIN = (*CONTROLS, "\n", "")
 
 
 def unescaped(text: str) -> str:
@@ -58,24 +62,34 @@ def part_tokens(part: Column) -> Column:
 
 def flattened(parts: Column) -> tuple[Column, Column]:
     """The escaped text with placeholders, and the attachments (at, kind, ref, tokens) in order."""
-    text_of = lambda p: F.when(F.coalesce(p["kind"], F.lit("text")) == "text", escaped(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escaped(p["kind"], True), F.lit("|>")))
-    text = F.array_join(F.transform(parts, lambda p: F.coalesce(text_of(p), F.lit(""))), "")
+    is_text = lambda p: F.coalesce(p["kind"], F.lit("text")) == "text"
+
+    def visit(p: Column, i: Column) -> Column:
+        join = F.when((i > 0) & is_text(F.get(parts, i - 1)), F.lit(BOUNDARY)).otherwise("")
+        return F.when(is_text(p), F.concat(join, escaped(F.coalesce(p["text"], F.lit(""))))).otherwise(F.concat(F.lit("<|"), escaped(p["kind"], True), F.lit("|>")))
+
+    text = F.array_join(F.transform(parts, lambda p, i: F.coalesce(visit(p, i), F.lit(""))), "")
     listed = F.transform(parts, lambda p, i: F.struct(i.alias("at"), p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
     return text, F.filter(listed, lambda a: F.coalesce(a["kind"], F.lit("text")) != "text")
 
 
+def as_parts(text: Column) -> Column:
+    """One text part."""
+    return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), *(F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int")))))
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, formatted, loss_start, loss_end, attachments, expanded_tokens for every row of turns.
 
-    turns has conv_id, turn, role and either parts (PARTS_DDL) or text. loss_start and loss_end are code points in
-    formatted, null outside of assistant turns."""
-    text, attachments = F.coalesce(F.col("text"), F.lit("")) if "text" in turns.columns else F.lit(""), None
-    body = escaped(text)
+    turns has conv_id, turn, role and parts (PARTS_DDL) or text, or both: text is then taken where parts is null.
+    loss_start and loss_end are code points in formatted, null outside of assistant turns."""
+    parts = as_parts(F.col("text").cast("string") if "text" in turns.columns else F.lit(""))
     if "parts" in turns.columns:
-        flat, listed = flattened(F.col("parts"))
-        body, attachments = F.when(F.col("parts").isNull(), body).otherwise(flat), listed
+        parts = F.coalesce(F.col("parts").cast(PARTS_DDL), parts)
+    body, attachments = flattened(F.col("parts"))
     role = escaped(F.coalesce("role", F.lit("")), True)
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), role.alias("tag"), body.alias("body"), *([attachments.alias("attachments")] if attachments is not None else [F.lit(None).cast("array<struct<at:int,kind:string,ref:string,tokens:bigint>>").alias("attachments")]))
+    rows = turns.select("conv_id", "turn", "role", parts.alias("parts"))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), role.alias("tag"), body.alias("body"), attachments.alias("attachments"))
     begin = F.length("tag") + F.lit(len("<s>\n"))
     graded = F.col("role") == ASSISTANT
     return rows.select(
@@ -88,36 +102,49 @@ def format_turns(turns: DataFrame) -> DataFrame:
     )
 
 
-def turn_of(formatted: str) -> tuple[str, str]:
-    """Role and text of one formatted turn."""
+_PLACEHOLDER = re.compile(r"<\|(.*?)\|>", re.DOTALL)
+
+
+def split_body(body: str) -> tuple[str, list[str]]:
+    """The text of a flattened body, and the kinds of its placeholders in order."""
+    if "<|" not in body:
+        return unescaped(body), []
+    return unescaped(_PLACEHOLDER.sub("", body)), [unescaped(kind) for kind in _PLACEHOLDER.findall(body)]
+
+
+def turn_of(formatted: str) -> tuple[str, str, list[str]]:
+    """Role, text and kinds of attachments of one formatted turn."""
     if not formatted.startswith("<s>") or not formatted.endswith("</s>\n"):
         raise ValueError("not a formatted turn")
-    role, _, text = formatted[3:-5].partition("\n")
-    return unescaped(role), unescaped(text)
+    role, _, body = formatted[3:-5].partition("\n")
+    return unescaped(role), *split_body(body)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Formatted turns sorted by conversation in, one digest row for each conversation out."""
     none = object()
     conv: object = none
-    count = loss = chars = 0
+    count = loss = chars = attached = expanded = 0
     turns = graded = None
 
     def ended() -> tuple:
-        return conv, count, turns.hexdigest(), loss, graded.hexdigest(), chars
+        return conv, count, turns.hexdigest(), loss, graded.hexdigest(), chars, attached, expanded
 
     for batch in batches:
         rows = []
-        for of, formatted, begin, end in zip(*(batch[n].to_pylist() for n in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
+        for of, formatted, begin, end, kinds, tokens in zip(*(batch[n].to_pylist() for n in ("conv_id", "formatted", "loss_start", "loss_end", "kinds", "expanded_tokens")), strict=True):
             if of != conv or turns is None:
                 if turns is not None:
                     rows.append(ended())
-                conv, count, loss, chars, turns, graded = of, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-            role, text = turn_of(formatted)
+                conv, count, loss, chars, attached, expanded = of, 0, 0, 0, 0, 0
+                turns, graded = hashlib.sha256(), hashlib.sha256()
+            role, text, found = turn_of(formatted)
+            if found != [k or "" for k in kinds]:
+                raise ValueError("placeholders and attachments differ")
             turns.update(f"{role}\n{text}\n".encode())
-            count, chars = count + 1, chars + len(formatted)
+            count, chars, attached, expanded = count + 1, chars + len(formatted), attached + len(found), expanded + tokens
             if begin is not None:
-                masked = unescaped(formatted[begin:end])
+                masked = split_body(formatted[begin:end])[0]
                 graded.update(masked.encode())
                 loss += len(masked)
         if rows:
@@ -128,7 +155,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What format_turns() wrote, read back: one row for each conversation."""
-    dealt = formatted.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end").repartition("conv_id")
+    kinds = F.transform("attachments", lambda a: a["kind"]).alias("kinds")
+    dealt = formatted.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end", kinds, "expanded_tokens").repartition("conv_id")
     return dealt.sortWithinPartitions("conv_id", "turn", "role", "formatted").mapInArrow(_read_back, OUT_DDL)
 
 
@@ -159,5 +187,6 @@ def oracle_sql() -> str:
       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-      CAST(sum(length({tag}) + length({body}) + 9) AS BIGINT) AS formatted_chars
+      CAST(sum(length({tag}) + length({body}) + 9) AS BIGINT) AS formatted_chars,
+      CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
     FROM turns GROUP BY conv_id"""
