@@ -143,6 +143,34 @@ def test_packing_over_lanes(spark, monkeypatch):
         assert at <= 64
 
 
+def test_packing_closes_bins_within_bounds():
+    """Places well below the bins that a lane makes: bins close, and few sequences are lost for it."""
+    rng = random.Random(6)
+    bins, lengths = packing.Bins(4096, 64), [min(4096, int(rng.lognormvariate(6.4, 1))) or 1 for _ in range(8000)]
+    for n in lengths:
+        bins.put(n)
+        assert len(bins.free_of) <= 64
+    assert len(bins.closed) > 10 * 64 and bins.made <= 1.01 * sum(lengths) / 4096 + 64
+
+
+def test_packing_of_whole_table_is_tight(spark):
+    got = packing.pack(spark.read.parquet(f"{SF}/documents.parquet")).agg(F.countDistinct("sequence_id"), F.sum("length")).first()
+    assert got[0] <= 1.01 * got[1] / 4096 + 1
+
+
+def test_packing_of_rows_alike(spark):
+    """Rows without an id that are alike, and a text beyond 256 KiB, each packed for itself."""
+    rows = [(None, "token " * 9)] * 500 + [(None, None)] * 20 + [(1, "token " * 60_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), length=100).collect()
+    assert Counter(r["length"] for r in got) == Counter({10: 500, 1: 21, 100: 600})
+    spans = defaultdict(set)
+    for r in got:
+        for at in range(r["offset"], r["offset"] + r["length"]):
+            assert at not in spans[r["sequence_id"]]
+            spans[r["sequence_id"]].add(at)
+    assert all(s == set(range(len(s))) and len(s) <= 100 for s in spans.values())
+
+
 def test_bins_are_best_fit():
     bins = packing.Bins(10, 2)
     assert [bins.put(n) for n in (6, 7, 3, 4, 5, 9)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (3, 0)]
@@ -378,6 +406,27 @@ def test_fingerprint_of_last_is_compared_with_first(spark):
     assert got[9]["edited_sha256"] == hashlib.sha256(b"ABCDEFab").hexdigest()
 
 
+def test_fingerprints_across_ranges(spark):
+    """Successors over ranges that are empty, and from the last to the first, whatever the number of partitions."""
+    rows = [(i, f"text {i} " * (1 + i % 5)) for i in (*range(40), *[100] * 30, 200, 300)]
+    ids = {i: t for i, t in rows}
+    order = sorted(ids)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "50"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+            assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+            seen = defaultdict(set)
+            for r in got:
+                seen[r["doc_id"]].add(r["edited_sha256"])
+            for a, b in zip(order, [*order[1:], order[0]], strict=True):
+                cut = len(ids[a]) // 4
+                assert hashlib.sha256((ids[a][: len(ids[a]) - cut] + ids[b][:cut]).encode()).hexdigest() in seen[a]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_parsing_is_locally_consistent():
     rng = np.random.default_rng(1)
     core = rng.integers(97, 123, 3000).astype(np.uint8).tobytes()
