@@ -12,10 +12,11 @@ the text has `PHRASES` phrases or more, and the one below. The likeness of two f
 among those that either fills, over the levels that both have: an estimate of the phrases that they share.
 
 The edited texts need each document's successor. Documents are dealt by ranges of doc_id and pass by in order; only the
-last of each range needs a row of another range, and these few meet in a join of one row for each range.
+last of each range needs a row of another range. It meets the first of the next range in a join on the range's number;
+only across ranges without rows, and from the last range to the first, are what is left over numbered and matched.
 
 Defined cases: null or empty text has no phrases, its own fingerprint, and is like an empty text (1) and unlike any other
-(0); rows with equal ids follow each other by text; a null doc_id comes first; a single row is its own successor; an
+(0); rows with equal ids follow each other by a hash of the text, then the text; a null doc_id comes first; a single row is its own successor; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, mix, partitions_for, powers, raw_text, reliable
+from tessera.llm.common import chunks, mix, partitions_for, powers, raw_text, stored
 
 LEVELS, PHRASES, BINS, TOSSES = 4, 48, 32, 4
 BASE = 0xD6E8FEB86659FD93 | 1
@@ -195,21 +196,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = partitions_for(docs)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    done = reliable(dealt.mapInArrow(_in_order, EDGE_DDL))
-    edges = done.where("place is not null")
-    # One number for each range that has rows: as many as there are partitions.
-    places = sorted(r["place"] for r in edges.where("first").select("place").collect())
-    if not places:
-        return done.select(*OUT_NAMES)
-    order = {p: q for p, q in zip(places, [*places[1:], places[0]], strict=True)}
-    to = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("place")]
-    lasts = edges.where("not first").select("doc_id", "text", to.alias("place"))
-    firsts = edges.where("first").select("place", F.col("text").alias("following"))
+    done = stored(dealt.mapInArrow(_in_order, EDGE_DDL))
+    lasts = done.where("place is not null and not first").select("doc_id", "text", "place")
+    firsts = done.where("place is not null and first").select((F.col("place") - 1).alias("place"), F.col("text").alias("following"))
+    met = lasts.join(firsts, "place").select("doc_id", "text", "following")
+    # Where a range is empty: as many lasts as firsts stay alone, each last is followed by the next first, in a circle.
+    alone, waiting = lasts.join(firsts, "place", "left_anti"), firsts.join(lasts, "place", "left_anti")
+    in_order = Window.orderBy("place")
+    waiting = waiting.withColumn("k", F.row_number().over(in_order) - 1)
+    gaps = F.count("*").over(Window.partitionBy())
+    alone = alone.withColumn("k", F.row_number().over(in_order) % gaps)
+    met = met.unionByName(alone.join(waiting.drop("place"), "k").select("doc_id", "text", "following"))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, *chain in zip(*(batch[name].to_pylist() for name in ("doc_id", "text", "following")), strict=True):
                 yield _compare([doc_id], chain)
 
-    met = lasts.join(firsts, "place").select("doc_id", "text", "following").mapInArrow(join_up, OUT_DDL)
-    return done.where("place is null").select(*OUT_NAMES).unionByName(met)
+    return done.where("place is null").select(*OUT_NAMES).unionByName(met.mapInArrow(join_up, OUT_DDL))
