@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicates, substrings, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on every row of docs and, but for the last, returns the columns of docs:
-rows that the quality rules keep, one row of each near-duplicate group, texts without repeated passages, rows as often as
+rows that the quality rules keep, one row of each group of near-duplicates (5-word shingles, likeness 0.8 or more), texts without repeated passages, rows as often as
 the mix takes them. The last gives the pieces of packed sequences. Nulls, repeated rows, empty tables and further columns
 are handled as the operators' docstrings say. A document that loses every word stays until the mix takes it zero times.
 """
