@@ -40,6 +40,7 @@ FOLDS = 5
 BEGINNINGS = (4, 5, 6, 7, 8, 9, 10, 12)
 #: Least likelihood ratio statistic of a feature and of a cue; least share of toxic documents among those with a cue.
 FEATURE_G, CUE_G, CUE_SHARE = 15.0, 25.0, 0.7
+#: Features of the fit at most, those of the greatest statistic, which bounds the model that workers hold; rounds of the fit.
 FEATURES, ROUNDS = 20_000, 60
 BASE = 0xA24BAED4963EE407
 
