@@ -35,13 +35,19 @@ def is_boolean(query: str) -> bool:
 
 
 def is_phrase(query: str) -> bool:
-    return len(query) >= 2 and query[0] == query[-1] and query[0] in "\"'"
+    """Quotes at both ends; a lone quote is both."""
+    return query[:1] in ("'", '"') and query[0] == query[-1]
 
 
 def is_wildcard(query: str) -> bool:
     return "*" in query or "?" in query
 
 
+def is_short(query: str, most: int = fixed.SHORT_QUERY) -> bool:
+    """One to `most` searched terms."""
+    return 0 < len(searched_terms(query)) <= most
+
+
 def plain(query: str) -> str:
     text = re.sub(r"\b(AND|OR|NOT)\b", " ", query, flags=re.IGNORECASE)
     return re.sub("[*?]", "", text).strip('"').strip("'").strip()

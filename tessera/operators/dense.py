@@ -122,6 +122,7 @@ def kmeans(docs: DataFrame, k: int = fixed.CLUSTERS, runs: int = fixed.CLUSTER_R
     if not models:
         return docs.select("doc_id", F.lit(0).alias("cluster")), np.zeros((most, 0))
     best = min(models, key=lambda m: m.summary.trainingCost)
+    rows.unpersist()
     return best.transform(rows).select("doc_id", F.col("prediction").alias("cluster")), np.array(best.clusterCenters())
 
 
@@ -140,23 +141,36 @@ def cluster_of(clusters: DataFrame, doc_id: int) -> int:
 class CellIndex:
     """Approximate search: K-means cells fitted on a bounded sample of vectors, every vector indexed.
 
-    By default 18 of 32 cells are read: fewer lose more than a tenth of the true neighbours of vectors without clear
-    clusters (of 64 dimensions), where it takes over half of the rows to keep them."""
+    By default there are 32 cells, or more as the vectors grow (the square root of their number over 64), and 18 of 32 are
+    read: fewer lose more than a tenth of the true neighbours of vectors without clear clusters (of 64 dimensions), where it
+    takes over half of the rows to keep them. Vectors with clusters need less: `tuned` measures how much."""
 
     vectors: DataFrame  # with a cell column, partitioned by it
     centres: np.ndarray
     nprobe: int = 18
 
     @classmethod
-    def build(cls, vectors: DataFrame, path: str, cells: int = 32, sample: int = 50_000, nprobe: int = 18) -> CellIndex:
+    def build(cls, vectors: DataFrame, path: str, cells: int | None = None, sample: int = 50_000, nprobe: int | None = None) -> CellIndex:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
+        cells = cells or max(32, round(vectors.count() ** 0.5 / 64))
         chosen = vectors.orderBy(F.xxhash64("doc_id", "chunk_id")).limit(sample).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
         model = KMeans(k=cells, seed=fixed.CLUSTER_SEED).fit(chosen)
         rows = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
         model.transform(rows).drop("features").withColumnRenamed("prediction", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
-        return cls(vectors.sparkSession.read.parquet(path), np.array(model.clusterCenters()), nprobe)
+        return cls(vectors.sparkSession.read.parquet(path), np.array(model.clusterCenters()), nprobe or -(-cells * 18 // 32))
+
+    def tuned(self, queries: list[list[float]], k: int = fixed.TOP_K, least: float = 0.9) -> CellIndex:
+        """The same with the fewest cells read, by doubling, at which a list of queries has this recall on average."""
+        exact = [{r["doc_id"] for r in self.search(q, k, len(self.centres)).collect()} for q in queries]
+        nprobe = 1
+        while nprobe < len(self.centres):
+            found = [{r["doc_id"] for r in self.search(q, k, nprobe).collect()} for q in queries]
+            if sum(len(a & b) / max(len(b), 1) for a, b in zip(found, exact, strict=True)) >= least * len(queries):
+                break
+            nprobe *= 2
+        return CellIndex(self.vectors, self.centres, min(nprobe, len(self.centres)))
 
     def search(self, query: list[float], k: int = fixed.TOP_K, nprobe: int | None = None) -> DataFrame:
         distance = ((self.centres - np.asarray(query)) ** 2).sum(axis=1)

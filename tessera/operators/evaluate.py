@@ -29,10 +29,10 @@ def per_query(rankings: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5
     return both.select(*out)
 
 
-def aggregate(metrics: DataFrame) -> DataFrame:
-    """Means over all queries; MRR and MAP among them."""
+def aggregate(metrics: DataFrame, *by: str) -> DataFrame:
+    """Means over all queries, or over those of each group; MRR and MAP among them."""
     means = [c for c in metrics.columns if c.startswith(("precision_", "recall_", "f1_"))]
-    return metrics.agg(F.count("*").alias("num_queries"), F.avg("reciprocal_rank").alias("mrr"), F.avg("average_precision").alias("map"), *[F.avg(c).alias(c) for c in means])
+    return metrics.groupBy(*by).agg(F.count("*").alias("num_queries"), F.avg("reciprocal_rank").alias("mrr"), F.avg("average_precision").alias("map"), *[F.avg(c).alias(c) for c in means])
 
 
 def compare(before: DataFrame, after: DataFrame, epsilon: float = 1e-9) -> DataFrame:
@@ -51,10 +51,11 @@ def failures(metrics: DataFrame) -> DataFrame:
 
 def best_configurations(results: DataFrame, n: int = 3) -> DataFrame:
     """Of a grid (configuration, mrr, map) the n best by the mean of both."""
-    return results.withColumn("mean", (F.col("mrr") + F.col("map")) / 2).orderBy(F.desc("mean"), "configuration").limit(n)
+    return results.withColumn("mean", F.round((F.col("mrr") + F.col("map")) / 2, 9)).orderBy(F.desc("mean"), "configuration").limit(n)
 
 
 def guarded(results: DataFrame, loss: float = 0.03) -> DataFrame:
     """Configurations whose recall_5 is near the best one's, by precision, MAP and MRR."""
-    best = F.max("recall_5").over(Window.partitionBy())
-    return results.withColumn("best", best).where(F.col("recall_5") >= F.col("best") - loss).drop("best").orderBy(F.desc("precision_5"), F.desc("map"), F.desc("mrr"))
+    best = F.max("recall_5").over(Window.partitionBy())  # a grid's few rows
+    near = results.withColumn("best", best).where(F.col("recall_5") >= F.col("best") - loss - 1e-9).drop("best")
+    return near.orderBy(*(F.round(m, 9).desc() for m in ("precision_5", "map", "mrr")))

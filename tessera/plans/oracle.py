@@ -80,8 +80,8 @@ def min_max(source: str, name: str) -> str:
     return f"{name} AS (SELECT doc_id, CASE WHEN {span} <= 1e-12 THEN 0.0 ELSE (score - min(score) OVER ()) / {span} END AS x FROM {source})"
 
 
-def judged(weights: dict[int, dict[str, float]], name: str) -> str:
-    """CTEs: name is evaluate.per_query, unrounded."""
+def judged(weights: dict[int, dict[str, float]], name: str, ranking: str | None = None) -> str:
+    """CTEs: name is evaluate.per_query, unrounded. ranking: SQL of query_id, doc_id, rank in place of the cosine's."""
     rows = ", ".join(f"({i}, {sql(t)}, {w!r}::DOUBLE)" for i, ws in weights.items() for t, w in ws.items())
     ids = ", ".join(f"({i})" for i in weights)
     k_columns = "".join(f", p{k} AS precision_{k}, r{k} AS recall_{k}, CASE WHEN p{k} + r{k} > 0 THEN 2 * p{k} * r{k} / (p{k} + r{k}) ELSE 0.0 END AS f1_{k}" for k in (5, 10))
@@ -90,7 +90,8 @@ def judged(weights: dict[int, dict[str, float]], name: str) -> str:
 {name}_z AS (SELECT query_id, sqrt(sum(q * q)) AS size FROM {name}_v GROUP BY query_id),
 {name}_s AS (SELECT query_id, doc_id, sum(weight * q) / (any_value(norm) * any_value(size)) AS score FROM wgt JOIN {name}_v USING (term) JOIN nrm USING (doc_id) JOIN {name}_z USING (query_id)
   WHERE norm > 0 AND size > 0 GROUP BY query_id, doc_id HAVING sum(weight * q) > 0),
-{name}_r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {name}_s) WHERE rank <= 10),
+{name}_k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {name}_s),
+{name}_r AS ({ranking or f'SELECT * FROM {name}_k WHERE rank <= 10'}),
 {name}_h AS (SELECT query_id, doc_id, rank, (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))::INT AS hit FROM {name}_r),
 {name}_p AS (SELECT *, CASE WHEN hit = 1 THEN sum(hit) OVER (PARTITION BY query_id ORDER BY rank) / rank::DOUBLE END AS gain FROM {name}_h),
 {name}_n AS (SELECT query_id, (SELECT count(DISTINCT doc_id) FROM labels WHERE quality = 1) AS n FROM (VALUES {ids}) i(query_id)),
@@ -196,3 +197,126 @@ ORACLE["search_results"] = f"""{_FREE_ROWS}, r AS (SELECT *, row_number() OVER (
   b AS (SELECT *, greatest(0, p - 67) AS s FROM a), c AS (SELECT *, least(length(text), s + 200) AS e FROM b)
   SELECT rank::INT AS rank, doc_id, round(score, 4) AS score, CASE WHEN p IS NULL THEN substr(text, 1, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END
     ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || {STRIP.format('substr(text, s + 1, e - s)')} || CASE WHEN e < length(text) THEN '...' ELSE '' END END AS snippet, 'English' AS language, source FROM c"""
+
+
+def overlap(name: str, terms: dict[int, list[str]], candidates: str) -> str:
+    """CTEs: name (query_id, doc_id, score, fused) is the share of a query's terms in the first 1200 characters."""
+    rows = ", ".join(f"({i}, {sql(t)}, {len(set(ts))})" for i, ts in terms.items() for t in dict.fromkeys(ts))
+    blanked = BLANKED.replace("text", r"substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 1200)", 1)
+    return f"""{name}_w AS (SELECT * FROM (VALUES {rows}) v(query_id, term, many)), {name}_c AS ({candidates}),
+{name}_t AS (SELECT DISTINCT doc_id, CASE WHEN length(part) = strlen(part) THEN lower(part) ELSE part END AS term FROM (SELECT doc_id, unnest(regexp_extract_all({blanked}, '{LETTERS}')) AS part FROM documents WHERE doc_id IN (SELECT doc_id FROM {name}_c))),
+{name} AS (SELECT c.query_id, c.doc_id, count(t.term) / any_value(w.many)::DOUBLE AS score, any_value(c.score) AS fused FROM {name}_c c JOIN {name}_w w ON c.query_id = w.query_id LEFT JOIN {name}_t t ON t.doc_id = c.doc_id AND t.term = w.term GROUP BY c.query_id, c.doc_id)"""
+
+
+def grid(name: str, weights: str) -> str:
+    """CTEs: name_k (configuration, query_id, doc_id, rank) of a table of weights, name_m its metrics."""
+    return f"""{name}_p AS (SELECT configuration, query_id, doc_id, sum(x * CASE side WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END) AS score FROM parts CROSS JOIN {weights} GROUP BY ALL),
+{name}_k AS (SELECT * EXCLUDE score FROM (SELECT *, row_number() OVER (PARTITION BY configuration, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {name}_p) WHERE rank <= 10),
+{name}_h AS (SELECT *, (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))::INT AS hit FROM {name}_k),
+{name}_g AS (SELECT *, CASE WHEN hit = 1 THEN sum(hit) OVER (PARTITION BY configuration, query_id ORDER BY rank) / rank::DOUBLE END AS gain FROM {name}_h),
+{name}_q AS (SELECT configuration, query_id, coalesce(1.0::DOUBLE / min(rank) FILTER (hit = 1), 0) AS rr, coalesce(sum(gain), 0) / (SELECT n FROM good) AS ap, coalesce(sum(hit) FILTER (rank <= 5), 0) AS five FROM {name}_g GROUP BY ALL),
+{name}_m AS (SELECT configuration, sum(rr) / {len(P.JUDGED)} AS mrr, sum(ap) / {len(P.JUDGED)} AS map, sum(five / 5.0::DOUBLE) / {len(P.JUDGED)} AS precision_5, sum(five / (SELECT n FROM good)::DOUBLE) / {len(P.JUDGED)} AS recall_5 FROM {name}_q GROUP BY configuration)"""
+
+
+_IDS = ", ".join(map(str, P.JUDGED))
+_TERMS = {i: Q.searched_terms(q) for i, q in P.JUDGED.items()}
+_SPAN = "(max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id))"
+_SIDE = "SELECT query_id, doc_id, {0} AS side, CASE WHEN " + _SPAN + " <= 1e-12 THEN 0.0 ELSE (score - min(score) OVER (PARTITION BY query_id)) / " + _SPAN + " END AS x FROM {1}"
+GRID_LISTS = f"""{INDEX}, {judged(JUDGED, 'j')}, good AS (SELECT count(DISTINCT doc_id) AS n FROM labels WHERE quality = 1), kw30 AS (SELECT query_id, doc_id, score FROM j_k WHERE rank <= 30),
+dots AS (SELECT q.vec_id::INT AS query_id, d.vec_id AS doc_id, list_dot_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings d CROSS JOIN (SELECT * FROM embeddings WHERE vec_id IN ({_IDS})) q),
+sem30 AS (SELECT * EXCLUDE rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM dots) WHERE rank <= 30),
+{overlap('rr', _TERMS, 'SELECT * FROM kw30')},
+parts AS ({_SIDE.format(0, 'kw30')} UNION ALL {_SIDE.format(1, 'sem30')} UNION ALL {_SIDE.format(2, 'rr')})"""
+_ALL = ", ".join(f"({3 * i + j}, {a!r}::DOUBLE, {b!r}::DOUBLE, {w!r}::DOUBLE)" for i, (a, b) in enumerate(P.GRID) for j, w in enumerate((0.0, 0.2, 0.4)))
+_FIRST = ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE, 0.0::DOUBLE)" for i, (a, b) in enumerate(P.GRID))
+_STAGES = f"""{GRID_LISTS}, wa AS (SELECT * FROM (VALUES {_FIRST}) v(configuration, w0, w1, w2)), {grid('a', 'wa')},
+best AS (SELECT w0, w1 FROM a_m JOIN wa USING (configuration) ORDER BY round((mrr + map) / 2, 9) DESC, configuration LIMIT 3),
+wb AS (SELECT row_number() OVER () AS configuration, w0, w1, w2 FROM best CROSS JOIN (VALUES (0.2::DOUBLE), (0.4::DOUBLE)) v(w2)), {grid('b', 'wb')}"""
+_FOUR = "round(mrr, 6) AS mrr, round(map, 6) AS map, round(precision_5, 6) AS precision_5, round(recall_5, 6) AS recall_5"
+_AFTER = judged(JUDGED, "n", "SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, round(fused, 9) DESC, doc_id) AS rank FROM rr) WHERE rank <= 10")
+_VERDICT = "round(x, 6) AS delta_ap, round(y, 6) AS delta_rr, CASE WHEN x > 1e-9 THEN 'improved' WHEN x < -1e-9 THEN 'hurt' WHEN y > 1e-9 THEN 'improved' WHEN y < -1e-9 THEN 'hurt' ELSE 'unchanged' END AS verdict"
+_MODES = {i: ones(q) for i, q in P.MODE_QUERIES.items()}
+_RRF = ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, q in P.MODE_QUERIES.items() for a, b in [Q.fusion_weights(Q.parse(q))])
+_MODE_IDS = ", ".join(f"({i})" for i in P.MODE_QUERIES)
+_MODE_LISTS = f"""dn AS (SELECT vec_id AS doc_id, {DOT} AS score FROM embeddings), dr AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM dn),
+fw AS (SELECT * FROM (VALUES {_RRF}) v(query_id, a, b)),
+hs AS (SELECT query_id, doc_id, sum(part) AS score FROM (SELECT query_id, doc_id, a / (60 + rank) AS part FROM m_k JOIN fw USING (query_id) WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, b / (60 + rank) FROM dr CROSS JOIN fw WHERE rank <= 20) GROUP BY ALL),
+hr AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hs) WHERE rank <= 10)"""
+_WHOLE = f"query_id, num_retrieved, num_relevant, {ROUNDED}"
+
+
+def listed(table: dict[str, list[str]], name: str) -> str:
+    """CTE: by page and path the values of a table for a name's parts, each once, in the order of the name."""
+    rows = ", ".join(f"({sql(k)}, {i}, {sql(v)})" for k, values in table.items() for i, v in enumerate(values))
+    return f"""{name} AS (SELECT page_id, path, string_agg(v, ' ' ORDER BY p, i) AS {name} FROM (SELECT DISTINCT ON (page_id, path, v) page_id, path, p, i, v FROM parts JOIN (VALUES {rows}) t(k, i, v) ON part = k ORDER BY page_id, path, v, p, i) GROUP BY ALL)"""
+
+
+#: What the parser makes of each query: query, type, language, reason, intent, weighted embedding, then term and weight.
+PARSES = """
+('network security', 'free_text', 'en', 'strong_phrase', '', false, 'network', 1.0), ('network security', 'free_text', 'en', 'strong_phrase', '', false, 'security', 1.0),
+('electricity', 'free_text', 'en', 'single_word_query', '', true, 'electricity', 1.3), ('electricity', 'free_text', 'en', 'single_word_query', '', true, 'power', 1.2),
+('electricity', 'free_text', 'en', 'single_word_query', '', true, 'power supply', 0.3), ('electricity', 'free_text', 'en', 'single_word_query', '', true, 'current', 0.3),
+('electricity', 'free_text', 'en', 'single_word_query', '', true, 'electric bill', 0.3),
+('id card', 'free_text', 'en', 'specific_multi_term_query', 'id', true, 'id', 1.4), ('id card', 'free_text', 'en', 'specific_multi_term_query', 'id', true, 'card', 1.2),
+('id card', 'free_text', 'en', 'specific_multi_term_query', 'id', true, 'identity', 1.5), ('id card', 'free_text', 'en', 'specific_multi_term_query', 'id', true, 'identity card', 1.5),
+('id card', 'free_text', 'en', 'specific_multi_term_query', 'id', true, 'student id', 0.3), ('id card', 'free_text', 'en', 'specific_multi_term_query', 'id', true, 'id proof', 0.3),
+('house permission form', 'free_text', 'en', 'specific_multi_term_query', 'permission', true, 'house', 1.0), ('house permission form', 'free_text', 'en', 'specific_multi_term_query', 'permission', true, 'permission', 1.5),
+('house permission form', 'free_text', 'en', 'specific_multi_term_query', 'permission', true, 'form', 1.0), ('house permission form', 'free_text', 'en', 'specific_multi_term_query', 'permission', true, 'approval', 1.5),
+('house permission form', 'free_text', 'en', 'specific_multi_term_query', 'permission', true, 'noc', 1.5), ('house permission form', 'free_text', 'en', 'specific_multi_term_query', 'permission', true, 'building permit', 0.3),
+('house permission form', 'free_text', 'en', 'specific_multi_term_query', 'permission', true, 'construction approval', 0.3),
+('"er en"', 'phrase', 'en', 'phrase_query', '', false, 'er', 1.0), ('"er en"', 'phrase', 'en', 'phrase_query', '', false, 'en', 1.0), ('th*ed', 'wildcard', 'en', 'wildcard_query', '', false, 'th*ed', 1.0),
+('terms and conditions', 'boolean', 'en', 'boolean_query', '', false, 'terms', 1.0), ('terms and conditions', 'boolean', 'en', 'boolean_query', '', false, 'conditions', 1.0),
+('విద్య', 'free_text', 'te', 'single_word_query', '', true, 'విద్య', 1.0), ('విద్య', 'free_text', 'te', 'single_word_query', '', true, 'చదువు', 0.3), ('విద్య', 'free_text', 'te', 'single_word_query', '', true, 'శిక్షణ', 0.3),
+('', 'empty', 'en', 'empty_query', '', false, NULL, NULL), ('"', 'phrase', 'en', 'phrase_query', '', false, NULL, NULL),
+('bonafide 2024 timetable', 'free_text', 'en', 'specific_multi_term_query', 'certificate', true, 'bonafide', 1.0), ('bonafide 2024 timetable', 'free_text', 'en', 'specific_multi_term_query', 'certificate', true, 'timetable', 1.0),
+('bonafide 2024 timetable', 'free_text', 'en', 'specific_multi_term_query', 'certificate', true, 'certificate', 1.4), ('bonafide 2024 timetable', 'free_text', 'en', 'specific_multi_term_query', 'certificate', true, 'schedule', 0.3),
+('bonafide 2024 timetable', 'free_text', 'en', 'specific_multi_term_query', 'certificate', true, 'calendar', 0.3), ('bonafide 2024 timetable', 'free_text', 'en', 'specific_multi_term_query', 'certificate', true, 'class routine', 0.3)
+"""
+#: Weights of the keyword and the semantic list, and whether the query is short.
+WEIGHTS = """
+('network security', 0.4, 0.8, true), ('electricity', 0.4, 0.8, true), ('id card', 0.4, 0.8, true), ('house permission form', 0.2, 0.8, true), ('"er en"', 0.4, 0.8, true), ('th*ed', 0.4, 0.8, true),
+('terms and conditions', 0.4, 0.8, true), ('విద్య', 0.4, 0.8, true), ('', 0.2, 0.8, false), ('"', 0.2, 0.8, false), ('bonafide 2024 timetable', 0.75, 0.8, true)
+"""
+#: Cleaned synonyms: language, term, synonym.
+CLEANED = """
+('en', 'network', 'networking'), ('en', 'security', 'protection'), ('en', 'security', 'safety'), ('en', 'marksheet', 'gradecard'), ('en', 'marksheet', 'result'), ('en', 'id', 'identity'), ('en', 'identity', 'id'),
+('en', 'card', 'identity'), ('en', 'electricity', 'power'), ('en', 'electricity', 'current'), ('en', 'invoice', 'bill'), ('en', 'invoice', 'receipt'), ('en', 'timetable', 'schedule'), ('en', 'drainage', 'sewerage'), ('en', 'drainage', 'stormwater'),
+('hi', 'सुरक्षा', 'रक्षा'), ('hi', 'सुरक्षा', 'बचाव'), ('hi', 'शिक्षा', 'पढ़ाई'), ('hi', 'शिक्षा', 'अध्ययन'), ('hi', 'स्वास्थ्य', 'सेहत'), ('hi', 'स्वास्थ्य', 'आरोग्य'), ('hi', 'बिजली', 'विद्युत'), ('hi', 'बिजली', 'पावर'), ('hi', 'पानी', 'जल'), ('hi', 'पानी', 'नीर'),
+('te', 'విద్య', 'చదువు'), ('te', 'విద్య', 'శిక్షణ'), ('te', 'ఆరోగ్యం', 'ఆరోగ్యము'), ('te', 'ఆరోగ్యం', 'స్వస్థత'), ('te', 'నీరు', 'జలం'), ('te', 'విద్యుత్', 'కరెంటు'), ('te', 'భద్రత', 'రక్షణ'), ('te', 'భద్రత', 'సురక్ష')
+"""
+_WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
+ORACLE |= {
+    "query_parse": f"SELECT query, type, language, expand_reason, intent, weighted, term, weight::DOUBLE AS weight FROM (VALUES {PARSES}) v(query, type, language, expand_reason, intent, weighted, term, weight)",
+    "query_weights": f"SELECT query, keyword::DOUBLE AS keyword, semantic::DOUBLE AS semantic, short FROM (VALUES {WEIGHTS}) v(query, keyword, semantic, short)",
+    "synonyms_clean": f"SELECT * FROM (VALUES {CLEANED}) v(lang, term, synonym)",
+    "synonym_forms": "SELECT doc_id, CASE WHEN lang = 'en' THEN lower(trim(substr(text, 1, 40))) ELSE trim(substr(text, 1, 40)) END AS form FROM documents",
+    "name_terms": rf"""WITH n AS (SELECT page_id, unnest([url, 'd/my_id-card.' || page_id || '.pdf', 'd/house_permission-electricity.docx']) AS path FROM pages),
+      m AS (SELECT *, trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(path, '^.*/', ''), '^(.+)\.[^.]+$', '\1')), '[_.-]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM n),
+      parts AS (SELECT page_id, path, unnest(string_split(name, ' ')) AS part, generate_subscripts(string_split(name, ' '), 1) AS p FROM m), {listed(fixed.FILENAME_TAGS, 'tags')}, {listed(fixed.FILENAME_TERMS, 'terms')}
+      SELECT page_id, path, CASE WHEN name = '' THEN 'x' ELSE 'x' || chr(10) || chr(10) || concat_ws(' ', name, tags, terms) END AS text FROM m LEFT JOIN tags USING (page_id, path) LEFT JOIN terms USING (page_id, path)""",
+    "file_documents": "SELECT row_number() OVER (ORDER BY 'item_id=' || item_id || '/') - 1 AS doc_id, item_id, 'text' AS file_type, text || chr(10) AS text FROM benchmark",
+    "office_documents": rf"""WITH w AS (SELECT item_id, text, {_WORDS} AS ws FROM benchmark)
+      SELECT item_id || '.docx' AS file_path, 'docx' AS file_type, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text, 0::INT AS n_pages FROM w
+      UNION ALL SELECT item_id || '.xlsx', 'excel', '[Sheet: S]' || chr(10) || array_to_string(ws[1:3], ' | '), 0::INT FROM w
+      UNION ALL SELECT item_id || '.pdf', 'pdf', array_to_string(ws[1:4], chr(10)) || chr(10) || chr(10) || array_to_string(ws[5:6], chr(10)), 2::INT FROM w
+      UNION ALL SELECT item_id || '.png', 'image', 'NotImplementedError: no extractor is registered for image files', -1::INT FROM w""",
+    "saved_history": ORACLE["history_dedup"],
+    "incidence_cells": f"WITH {TOKENS} SELECT DISTINCT term, doc_id, 1::INT AS present FROM tok",
+    "incidence_column": f"WITH {TOKENS} SELECT term, max((doc_id = 0)::INT)::INT AS present FROM tok GROUP BY term",
+    "cluster_sizes": "SELECT c::INT AS cluster, (SELECT count(*) FROM embeddings WHERE label = c) AS size FROM range(12) r(c)",
+    "similar_in_cluster": f"WITH s AS (SELECT vec_id AS doc_id, {DOT} AS score FROM embeddings WHERE vec_id <> 0 AND label = (SELECT label FROM embeddings WHERE vec_id = 0)) {top('s', 5)}",
+    "semantic_search": f"WITH dn AS (SELECT vec_id AS doc_id, {DOT} AS score FROM embeddings) SELECT *, 'en' AS query_language FROM ({top('dn')})",
+    "hybrid_search": ORACLE["weighted_rrf"],
+    "search_modes": f"SELECT *, 'keyword' AS mode FROM ({ORACLE['keyword_ranked']}) UNION ALL SELECT *, 'semantic' FROM ({ORACLE['dense_topk']}) UNION ALL SELECT *, 'hybrid' FROM ({ORACLE['weighted_rrf']}) UNION ALL SELECT *, 'wildcard' FROM ({ORACLE['wildcard_search']})",
+    "rerank": f"WITH {LISTS}, {overlap('rr', {0: Q.searched_terms(P.FREE_TEXT)}, 'SELECT 0 AS query_id, doc_id, score FROM kw')} SELECT doc_id, round(score, 6) AS score FROM rr ORDER BY round(score, 9) DESC, round(fused, 9) DESC, doc_id LIMIT 10",
+    "without_failures": f"WITH {INDEX}, {judged(JUDGED, 'j')} SELECT count(*) AS num_queries, round(avg(reciprocal_rank), 6) AS mrr, round(avg(average_precision), 6) AS map, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in P.METRICS[2:]) + " FROM j WHERE reciprocal_rank > 0",
+    "short_expansion_ab": f"SELECT * FROM ({ORACLE['expansion_ab']}) WHERE query_id IN (2, 3, 4, 5)",
+    "metric_report": f"WITH {INDEX}, {judged(JUDGED, 'j')}, m AS (SELECT count(*)::DOUBLE AS num_queries, avg(reciprocal_rank) AS mrr, avg(average_precision) AS map, " + ", ".join(f"avg({m}) AS {m}" for m in P.METRICS[2:]) + " FROM j) "
+    + " UNION ALL ".join(f"SELECT {i}::INT AS place, printf('%s: %.4f', {sql(c)}, {c}) AS line FROM m" for i, c in enumerate(["num_queries", "mrr", "map", *P.METRICS[2:]])),
+    "eval_modes": f"WITH {INDEX}, {judged(_MODES, 'm')}, {_MODE_LISTS}, {judged(_MODES, 's', f'SELECT query_id, doc_id, rank FROM dr CROSS JOIN (VALUES {_MODE_IDS}) v(query_id) WHERE rank <= 10')}, {judged(_MODES, 'h', 'SELECT * FROM hr')} "
+    f"SELECT {_WHOLE}, 'keyword' AS mode FROM m UNION ALL SELECT {_WHOLE}, 'semantic' FROM s UNION ALL SELECT {_WHOLE}, 'hybrid' FROM h",
+    "fusion_grid": f"WITH {GRID_LISTS}, wx AS (SELECT * FROM (VALUES {_ALL}) v(configuration, w0, w1, w2)), {grid('g', 'wx')} SELECT configuration, query_id, doc_id, rank::INT AS rank FROM g_k",
+    "two_stage_grid": f"WITH {_STAGES} SELECT 1 AS stage, w0, w1, w2, {_FOUR} FROM a_m JOIN wa USING (configuration) UNION ALL SELECT 2, w0, w1, w2, {_FOUR} FROM b_m JOIN wb USING (configuration)",
+    "guarded_grid": f"WITH {_STAGES} SELECT w0, w1, round(precision_5, 6) AS precision_5, round(recall_5, 6) AS recall_5 FROM a_m JOIN wa USING (configuration) WHERE recall_5 >= (SELECT max(recall_5) FROM a_m) - 0.03 - 1e-9",
+    "rerank_comparison": f"WITH {GRID_LISTS}, {_AFTER}, d AS (SELECT query_id, n.average_precision - j.average_precision AS x, n.reciprocal_rank - j.reciprocal_rank AS y FROM j JOIN n USING (query_id)) SELECT query_id, {_VERDICT} FROM d",
+}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from tessera.functions import query as Q
 from tessera.functions import text as T
 from tessera.operators import boolean, chunk, dense, evaluate, fusion, sparse, wildcard
 from tessera.operators.index import Index, document_frequency, positions, raw_postings
+from tessera.plans import experiments as E
 from tessera.plans import session as S
+from tessera.sources import files, samples, storage
 from tessera.sources.storage import new_path, spread, stored
 from tessera.streaming.ingest import collapsed
 
@@ -296,6 +300,16 @@ def rerank(s, d):
     return rounded(fusion.rerank(FREE_TEXT, keyword, docs_of(s, d), Overlap()), "score")
 
 
+@dataclass(frozen=True)
+class Known:
+    """An encoder whose every text has one vector: searches that depend on nothing but the tables."""
+
+    vector: list[float]
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return np.array([self.vector] * len(texts))
+
+
 class Overlap:
     """A stand-in for a cross-encoder: the share of the query's terms that a text holds."""
 
@@ -304,10 +318,24 @@ class Overlap:
         return [len(wanted & set(Q.searched_terms(t))) / max(len(wanted), 1) for t in texts]
 
 
+def session_of(s, d):
+    return S.SearchSession(docs_of(s, d), index_of(s, d), chunk_vectors(s, d, False), Known(query_vector(s, d)))
+
+
+def semantic_search(s, d):
+    return rounded(session_of(s, d).semantic_with_language(FREE_TEXT), "score")
+
+
 def hybrid_search(s, d):
-    docs = docs_of(s, d).select("doc_id", "text")
-    vectors = stored(dense.encoded(chunk.fixed_chunks(docs), dense.HashEncoder()).drop("text"), "vectors")
-    return rounded(S.SearchSession(docs, index_of(s, d), vectors).hybrid(FREE_TEXT), "score")
+    return rounded(session_of(s, d).hybrid(FREE_TEXT), "score")
+
+
+def search_modes(s, d):
+    session, out = session_of(s, d), None
+    for mode, text in (*((m, FREE_TEXT) for m in S.MODES), ("wildcard", WILDCARD)):
+        one = session.ranked(text, mode if mode in S.MODES else "hybrid").withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "score")
 
 
 def search_results(s, d):
@@ -315,17 +343,94 @@ def search_results(s, d):
 
 
 # Queries.
+PARSED = ["network security", "electricity", "id card", "house permission form", '"er en"', "th*ed", "terms and conditions", "విద్య", "", '"', "bonafide 2024 timetable"]
+
+
 def query_parse(s, d):
-    texts = ["network security", "electricity", "id card", "house permission form", '"er en"', "th*ed", "terms and conditions", "విద్య", ""]
-    rows = [(q, p.type, p.language, p.original_terms, p.expanded_terms, {k: float(v) for k, v in p.weighted_terms.items()}, p.expand_reason, p.intent, p.intent_terms) for q in texts for p in [Q.parse(q)]]
-    return s.createDataFrame(rows, "query string, type string, language string, original_terms array<string>, expanded_terms array<string>, weighted_terms map<string,double>, expand_reason string, intent array<string>, intent_terms array<string>")
+    rows = [(q, p.type, p.language, p.expand_reason, " ".join(p.intent), p.use_weighted_embedding, t, None if t is None else float(p.weighted_terms[t])) for q in PARSED for p in [Q.parse(q)] for t in p.weighted_terms or [None]]
+    return s.createDataFrame(rows, "query string, type string, language string, expand_reason string, intent string, weighted boolean, term string, weight double")
+
+
+def query_weights(s, d):
+    rows = [(q, *Q.fusion_weights(Q.parse(q)), Q.is_short(q)) for q in PARSED]
+    return rounded(s.createDataFrame(rows, "query string, keyword double, semantic double, short boolean"), "keyword", "semantic")
 
 
 def synonyms_clean(s, d):
-    rows = [(lang, term, word) for lang, entries in Q.clean_synonyms(fixed.SYNONYMS).items() for term, words in entries.items() for word in words]
+    """Cleaned, written, and read again."""
+    path = new_path(s, "synonyms")
+    storage.save_json(s, path, Q.clean_synonyms(fixed.SYNONYMS))
+    rows = [(lang, term, word) for lang, entries in storage.load_json(s, path).items() for term, words in entries.items() for word in words]
     return s.createDataFrame(rows, "lang string, term string, synonym string")
 
 
+def synonym_forms(s, d):
+    return docs_of(s, d).select("doc_id", T.synonym_form(F.substring("text", 1, 40), F.col("lang")).alias("form"))
+
+
+def name_terms(s, d):
+    """Names of three kinds: the page's own, one with tags and one with search terms."""
+    named = table(s, d, "pages").select("page_id", F.explode(F.array("url", F.concat(F.lit("d/my_id-card."), "page_id", F.lit(".pdf")), F.lit("d/house_permission-electricity.docx"))).alias("path"))
+    return named.select("page_id", "path", T.with_name_terms(F.lit("x"), F.col("path")).alias("text"))
+
+
+# Files: the benchmark's texts are written as files, scanned and read again.
+def file_documents(s, d):
+    path = new_path(s, "files")
+    table(s, d, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    found = files.documents(s, path, name_terms=False)
+    return found.select("doc_id", F.regexp_extract("file_path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), "file_type", "text")
+
+
+def office_documents(s, d):
+    """Word, Excel and PDF files, and one that is none of them, made of each text and read again."""
+
+    def made(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch["item_id"], batch["text"], strict=True):
+                rows += [(f"{item}.docx", "docx", samples.word(text.split("\n"))), (f"{item}.xlsx", "excel", samples.excel([text.split()[:3]])), (f"{item}.pdf", "pdf", samples.pdf([text.split()[:4], text.split()[4:6]]))]
+                rows.append((f"{item}.png", "image", b"no picture"))
+            yield pd.DataFrame(rows, columns=["file_path", "file_type", "content"])
+
+    content = table(s, d, "benchmark").select("item_id", "text").mapInPandas(made, "file_path string, file_type string, content binary")
+    kept = files.extracted(content).select("file_path", "file_type", "text", F.size("pages").alias("n_pages"))
+    lost = files.dropped(content).select("file_path", "file_type", F.col("reason").alias("text"), F.lit(-1).alias("n_pages"))
+    return kept.unionByName(lost)
+
+
+def saved_history(s, d):
+    """Searches appended in two parts, then read, collapsed and bounded."""
+    path = new_path(s, "history")
+    rows = table(s, d, "events").select("event_id", "user_id", F.col("event_type").alias("action"), "ts")
+    for part in (0, 1):
+        storage.append_history(rows.where(F.col("event_id") % 2 == part), path)
+    return collapsed(s.read.parquet(path), fixed.HISTORY).select("event_id", "user_id", "action", "place")
+
+
+# The incidence matrix, clusters.
+def incidence_cells(s, d):
+    return index_of(s, d).incidence()
+
+
+def incidence_column(s, d):
+    return index_of(s, d).incidence_column(0)
+
+
+def _clusters(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("int").alias("cluster"))
+
+
+def cluster_sizes(s, d):
+    return dense.cluster_sizes(_clusters(s, d), 12)
+
+
+def similar_in_cluster(s, d):
+    return rounded(dense.similar(dense.document_vectors(chunk_vectors(s, d, False)), 0, clusters=_clusters(s, d)), "score")
+
+
 # Evaluation: documents of quality 1 are relevant to every query.
 def _judged(s, d, weights=None):
     rows = [(i, t, w) for i, q in JUDGED.items() for t, w in ({t: 1.0 for t in Q.searched_terms(q)} if weights is None else weights[i]).items()]
@@ -354,13 +459,72 @@ def failing_queries(s, d):
     return evaluate.failures(_judged(s, d)).select("query_id", "num_retrieved")
 
 
-def fusion_grid(s, d):
+def without_failures(s, d):
+    return rounded(E.without_failures(_judged(s, d)), "mrr", "map", *METRICS[2:])
+
+
+def short_expansion_ab(s, d):
+    short = list(E.short_queries(JUDGED))
+    return rounded(evaluate.compare(_judged(s, d), _judged(s, d, EXPANDED)).where(F.col("query_id").isin(short)), "delta_ap", "delta_rr")
+
+
+def metric_report(s, d):
+    return storage.report(evaluate.aggregate(_judged(s, d)))
+
+
+MODE_QUERIES = {1: "thing ering er en", 2: "ention stent", 4: "eau pour"}
+
+
+def eval_modes(s, d):
+    good = table(s, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("name"))
+    judgments = good.crossJoin(F.broadcast(s.createDataFrame(list(MODE_QUERIES.items()), "query_id int, query string")))  # a handful of queries
+    out = None
+    for mode, found in session_of(s, d).evaluate(judgments, "doc_id").items():
+        one = rounded(found, *METRICS).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _grid_lists(s, d):
+    """Score lists of all judged queries: keyword, semantic (query i is vector i), and the reranker's on the first."""
     rows = [(i, t, 1.0) for i, q in JUDGED.items() for t in Q.searched_terms(q)]
-    keyword = stored(sparse.rank_many(index_of(s, d), s.createDataFrame(rows, "query_id int, term string, weight double"), 30).drop("rank"), "keyword")
-    ids = s.createDataFrame([(i,) for i in JUDGED], "query_id int")
-    semantic = stored(dense.search_by_vector(chunk_vectors(s, d, False), query_vector(s, d), 30), "semantic").crossJoin(F.broadcast(ids)).select("query_id", "doc_id", "score")
-    weights = [(k, m, r) for k, m in ((0.2, 0.8), (0.3, 0.7), (0.4, 0.6), (0.5, 0.5)) for r in (0.0, 0.2, 0.4)]
-    return S.grid(keyword, semantic, keyword.where("false"), weights, fixed.TOP_K).drop("score")
+    keyword = storage.held(sparse.rank_many(index_of(s, d), s.createDataFrame(rows, "query_id int, term string, weight double"), 30).drop("rank"))
+    vectors = chunk_vectors(s, d, False)
+    asked = F.broadcast(vectors.where(F.col("doc_id").isin(list(JUDGED))).select(F.col("doc_id").cast("int").alias("query_id"), F.col("embedding").alias("asked")))  # a handful of queries
+    scores = vectors.crossJoin(asked).select("query_id", "doc_id", dense.dot(F.col("embedding"), F.col("asked")).alias("score"))
+    semantic = storage.held(fusion.ranked(scores, "query_id").where("rank <= 30").drop("rank"))
+    return keyword, semantic, E.rerank_many(keyword, docs_of(s, d), JUDGED, Overlap())
+
+
+GRID = [(0.2, 0.8), (0.3, 0.7), (0.4, 0.6), (0.5, 0.5)]
+
+
+def fusion_grid(s, d):
+    keyword, semantic, reranked = _grid_lists(s, d)
+    return S.grid(keyword, semantic, reranked, [(k, m, r) for k, m in GRID for r in (0.0, 0.2, 0.4)], fixed.TOP_K).drop("score")
+
+
+def _relevant(s, d):
+    good = table(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("name"))
+    return good.crossJoin(F.broadcast(s.createDataFrame([(i,) for i in JUDGED], "query_id int")))  # a handful of queries
+
+
+def two_stage_grid(s, d):
+    found = E.two_stage_grid(*_grid_lists(s, d), _relevant(s, d), GRID, [0.2, 0.4])
+    return rounded(found.select("stage", "w0", "w1", "w2", "mrr", "map", "precision_5", "recall_5"), "mrr", "map", "precision_5", "recall_5")
+
+
+def guarded_grid(s, d):
+    found = E.two_stage_grid(*_grid_lists(s, d), _relevant(s, d), GRID, [0.2, 0.4]).where("stage = 1")
+    return rounded(evaluate.guarded(found).select("w0", "w1", "precision_5", "recall_5"), "precision_5", "recall_5")
+
+
+def rerank_comparison(s, d):
+    keyword, _, reranked = _grid_lists(s, d)
+    names = lambda df: df.withColumnRenamed("doc_id", "name").select("query_id", "name", "rank")
+    before = evaluate.per_query(names(fusion.ranked(keyword, "query_id").where(F.col("rank") <= fixed.TOP_K)), _relevant(s, d))
+    after = evaluate.per_query(names(E.reranked(reranked)), _relevant(s, d))
+    return rounded(evaluate.compare(before, after), "delta_ap", "delta_rr")
 
 
 def history_dedup(s, d):
@@ -377,6 +541,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         wildcard_candidates, wildcard_search, keyword_ranked, keyword_boolean_ranked, keyword_phrase_ranked, keyword_phrase_boost, keyword_many, dense_topk,
         dense_doc_maxpool, doc_mean_vector, weighted_query_vector, similar_docs, kmeans_clusters, ivf_topk, rrf_fusion, weighted_rrf, rrf_details, rerank_blend,
         linear_fusion, union_max, display_scores, rerank, hybrid_search, search_results, query_parse, synonyms_clean, eval_per_query, eval_aggregate, expansion_ab,
-        failing_queries, fusion_grid, history_dedup,
+        failing_queries, fusion_grid, history_dedup, query_weights, synonym_forms, name_terms, file_documents, office_documents, saved_history, incidence_cells,
+        incidence_column, cluster_sizes, similar_in_cluster, semantic_search, search_modes, without_failures, short_expansion_ab, metric_report, eval_modes,
+        two_stage_grid, guarded_grid, rerank_comparison,
     )
 }

@@ -13,7 +13,7 @@ from tessera.functions import query as Q
 from tessera.functions import text as T
 from tessera.operators import chunk, dense, evaluate, fusion, sparse, wildcard
 from tessera.operators.index import Index
-from tessera.sources.storage import new_path, stored
+from tessera.sources.storage import held, new_path
 
 MODES = ("keyword", "semantic", "hybrid")
 
@@ -27,13 +27,14 @@ class SearchSession:
     reranker: fusion.Reranker | None = None
     english_only: bool = False
     synonyms: dict | None = None
+    cells: dense.CellIndex | None = None  # approximate search reads some of its cells instead of all vectors
 
     @classmethod
     def build(cls, docs: DataFrame, path: str | None = None, encoder: dense.Encoder | None = None, **options) -> SearchSession:
         encoder = encoder or dense.HashEncoder()
         path = path or new_path(docs.sparkSession, "session")
         index = Index.build(docs, f"{path}/index")
-        docs.write.parquet(f"{path}/documents")
+        docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/documents")  # so that a lookup prunes
         dense.encoded(chunk.semantic_chunks(docs, encoder), encoder).drop("text").write.parquet(f"{path}/vectors")
         spark = docs.sparkSession
         return cls(spark.read.parquet(f"{path}/documents"), index, spark.read.parquet(f"{path}/vectors"), encoder, **options)
@@ -48,7 +49,7 @@ class SearchSession:
     def semantic(self, query: str, k: int = fixed.TOP_K) -> DataFrame:
         parsed = Q.parse(query, self.synonyms)
         vector = dense.weighted_vector(self.encoder, parsed.weighted_terms) if parsed.use_weighted_embedding else self.encoder.encode([f"query: {Q.plain(query)}"])[0].tolist()
-        return dense.search_by_vector(self.vectors, vector, k)
+        return self.cells.search(vector, k) if self.cells is not None else dense.search_by_vector(self.vectors, vector, k)
 
     def semantic_with_language(self, query: str, k: int = fixed.TOP_K) -> DataFrame:
         return self.semantic(query, k).withColumn("query_language", F.lit(Q.language(query)))
@@ -58,10 +59,10 @@ class SearchSession:
         reranked = self.reranker is not None and (not self.english_only or Q.language(query) == "en")
         depth = max(2 * k, fixed.RERANK_CANDIDATES if reranked else 0)
         # Two lists of at most depth rows, kept so that neither search runs twice.
-        fused = fusion.reciprocal(stored(self.keyword(query, depth)), stored(self.semantic(query, depth)), Q.fusion_weights(Q.parse(query, self.synonyms)))
+        fused = fusion.reciprocal(held(self.keyword(query, depth)), held(self.semantic(query, depth)), Q.fusion_weights(Q.parse(query, self.synonyms)))
         if not reranked:
             return sparse.top(fused, k)
-        fused = stored(fused)
+        fused = held(fused)
         return fusion.blend(fused, fusion.rerank(query, fused, self.docs, self.reranker, k), k)
 
     def details(self, query: str, k: int = fixed.TOP_K) -> DataFrame:
@@ -89,15 +90,20 @@ def run_all(queries: dict[int, str], search: Callable[[str], DataFrame], docs: D
     for query_id, query in queries.items():
         one = fusion.ranked(search(query)).withColumn("query_id", F.lit(query_id)).select("query_id", "doc_id", "rank")
         out = one if out is None else out.unionByName(one)
-    names = docs.select("doc_id", T.normal_name(F.col(name)).alias("name"))
-    return names.join(F.broadcast(stored(out)), "doc_id").select("query_id", "name", "rank")  # k rows a query
+    found = held(out)  # k rows a query
+    ids = [r["doc_id"] for r in found.select("doc_id").distinct().collect()]
+    names = docs.where(F.col("doc_id").isin(ids)).select("doc_id", T.normal_name(F.col(name).cast("string")).alias("name"))
+    return names.join(F.broadcast(found), "doc_id").select("query_id", "name", "rank")
 
 
 def results(ranked: DataFrame, docs: DataFrame, query: str) -> DataFrame:
-    """rank, doc_id, score as shown, raw_score, snippet, language and the documents' other columns; k rows."""
+    """rank, doc_id, score as shown, raw_score, snippet, language and the documents' other columns; k rows.
+
+    The k ids are literals of the scan's filter: of documents sorted by doc_id a few row groups are read."""
+    ranked = held(ranked)
     shown = fusion.ranked(ranked).select("doc_id", "rank", F.col("score").alias("raw_score"), fusion.display(F.col("score")).alias("score"))
     text = F.col("text")
-    found = docs.join(F.broadcast(shown), "doc_id")
+    found = docs.where(F.col("doc_id").isin([r["doc_id"] for r in ranked.select("doc_id").collect()])).join(F.broadcast(shown), "doc_id")
     others = [c for c in docs.columns if c not in ("doc_id", "text", "rank", "score", "raw_score", "snippet", "language")]
     return found.select("rank", "doc_id", "score", F.round("raw_score", 4).alias("raw_score"), T.snippet(text, query).alias("snippet"), T.language_label(text).alias("language"), *others).orderBy("rank")
 

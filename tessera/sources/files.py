@@ -1,7 +1,8 @@
 """Directories of files as documents: a binary scan, extractors by type, file-name terms, dense ids in path order.
 
 An extractor turns bytes into (text, pages, metadata) and may raise or return None: the file is dropped, as is one without
-text. Text, Word and Excel files are read with the standard library; PDF and images need an extractor to be registered.
+text; `dropped` lists such files with the reason. Text, Word and Excel files and PDF files with simple fonts are read with
+the standard library; other PDF files, images and the binary Excel format need an extractor to be registered.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -91,9 +93,6 @@ def missing(kind: str) -> Extractor:
     return fail
 
 
-EXTRACTORS: dict[str, Extractor] = {"text": text_file, "docx": word_file, "excel": excel_file}
-
-
 def paged(page_texts: list[str], ocr: Callable[[int], str] | None = None, short: int = 20) -> tuple[str, list[dict]]:
     """For PDF extractors: pages that are nearly without text go through ocr(page number), pages are set apart by a line."""
     pages = [{"page_num": i, "text": ocr(i) or t if ocr and len(t.strip()) < short else t} for i, t in enumerate(page_texts, 1)]
@@ -107,6 +106,57 @@ def recognised(words: list[tuple[str, float]]) -> tuple[str, dict[str, str]]:
     return " ".join(w for w, _ in kept), {"avg_confidence": str(sum(sure) / len(sure) if sure else 0.0), "word_count": str(len(kept))}
 
 
+_OBJECT = re.compile(rb"(\d+) \d+ obj\b(.*?)\bendobj", re.DOTALL)
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.DOTALL)
+_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|\[(?:\((?:\\.|[^\\()])*\)|[^\]()])*\]\s*TJ|T\*|'|-?[\d.]+\s+-?[\d.]+\s+T[dD]\b|\bET\b", re.DOTALL)
+_LITERAL = re.compile(rb"\((?:\\.|[^\\()])*\)|-?[\d.]+", re.DOTALL)
+_ESCAPED = re.compile(rb"\\([0-7]{1,3}|.)", re.DOTALL)
+_PLAIN = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(literal: bytes) -> str:
+    code = lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _PLAIN.get(m[1], m[1])
+    return _ESCAPED.sub(code, literal[1:-1]).decode("cp1252", "replace")
+
+
+def _pdf_text(content: bytes) -> str:
+    """The strings that a page's content shows, lines where the place moves down or a text object ends."""
+    out: list[str] = []
+    for m in _SHOWN.finditer(content):
+        found = m[0]
+        if found.startswith(b"("):
+            out.append(_pdf_string(found))
+        elif found.startswith(b"["):
+            for part in _LITERAL.findall(found):
+                out.append(_pdf_string(part) if part.startswith(b"(") else " " if float(part) < -200 else "")
+        elif out and not out[-1].endswith("\n") and not re.search(rb"\s-?0+(\.0*)?\s+T[dD]", found):
+            out.append("\n")
+    return "".join(out).strip()
+
+
+def pdf_file(content: bytes) -> tuple[str, list[dict], dict[str, str]]:
+    """Pages of a PDF whose fonts are simple (one byte a character) and whose objects are not packed in streams."""
+    if not content.startswith(b"%PDF") or b"/Encrypt" in content or b"/ObjStm" in content or b"/Type0" in content:
+        raise NotImplementedError("this PDF needs an extractor of its own")
+    objects = {int(number): body for number, body in _OBJECT.findall(content)}
+    texts = []
+    for _, body in sorted(objects.items()):
+        if not re.search(rb"/Type\s*/Page\b", body):
+            continue
+        whole = b""
+        listed = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+ \d+ R)", body)
+        for number in re.findall(rb"(\d+) \d+ R", listed[1]) if listed else []:
+            part = objects[int(number)]
+            stream = _STREAM.search(part)
+            whole += b"\n" + (zlib.decompressobj().decompress(stream[1]) if b"/FlateDecode" in part else stream[1]) if stream else b""
+        texts.append(_pdf_text(whole))
+    text, pages = paged(texts)
+    return text, pages, {"page_count": str(len(pages))}
+
+
+EXTRACTORS: dict[str, Extractor] = {"text": text_file, "docx": word_file, "excel": excel_file, "pdf": pdf_file}
+
+
 def scan(spark: SparkSession, directory: str) -> DataFrame:
     """file_path, file_type, content of the supported files below directory; a missing directory has none."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)  # the store's own reader: any scheme
@@ -116,6 +166,24 @@ def scan(spark: SparkSession, directory: str) -> DataFrame:
     return files.select(F.col("path").alias("file_path"), T.file_type(F.col("path")).alias("file_type"), "content").where("file_type <> 'unknown'")
 
 
+def dropped(files: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
+    """file_path, file_type, reason of the files that `extracted` leaves out."""
+    table = EXTRACTORS | (extractors or {})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, kind, content in zip(batch["file_path"], batch["file_type"], batch["content"], strict=True):
+                try:
+                    if table.get(kind, missing(kind))(bytes(content)) is None:
+                        rows.append((path, kind, "nothing extracted"))
+                except Exception as error:  # noqa: BLE001
+                    rows.append((path, kind, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["file_path", "file_type", "reason"])
+
+    return files.mapInPandas(run, "file_path string, file_type string, reason string")
+
+
 def extracted(files: DataFrame, extractors: dict[str, Extractor] | None = None, strict: bool = False) -> DataFrame:
     """One row for each file with text. strict: an extractor's error ends the job, else the file is dropped."""
     table = EXTRACTORS | (extractors or {})
