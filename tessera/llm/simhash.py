@@ -41,7 +41,7 @@ SEED = 42
 #: Fingerprints of one key that one task compares; a larger key is dealt to pairs of chunks.
 SPLIT = 8192
 #: A key of more fingerprints than this fills planes of its own, and many of them ask at once.
-CROWD, ASK = 1024, 128
+CROWD, ASK = 128, 128
 #: Keys (fingerprints times 16) for each task.
 TASK_KEYS = 2_000_000
 
