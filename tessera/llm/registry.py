@@ -64,5 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": suffix_dedup.oracle_sql(),
+    "op8_substring_dedup": substring_dedup.oracle_sql(),
     "op9_chat_formatting": chat.oracle_sql(),
 }

@@ -306,3 +306,21 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     if "n_chars" in columns:
         columns["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
     return found.select(*(columns[name].alias(name) for name in docs.columns))
+
+
+def oracle_sql() -> str:
+    return rf"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs),
+    windows AS (
+      SELECT r, p, word, list(word) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {WIDTH - 1} FOLLOWING) AS span FROM words
+    ), twice AS (SELECT span FROM windows WHERE len(span) = {WIDTH} GROUP BY span HAVING count(*) > 1),
+    judged AS (
+      SELECT r, p, word, coalesce(bool_or(found) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN {WIDTH - 1} PRECEDING AND CURRENT ROW), false) AS gone
+      FROM (SELECT w.*, t.span IS NOT NULL AS found FROM windows w LEFT JOIN twice t ON w.span = t.span)
+    ), kept AS (
+      SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS left_over FROM judged GROUP BY r
+    )
+    SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (r)"""

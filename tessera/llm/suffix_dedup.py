@@ -410,3 +410,23 @@ def dedup(docs: DataFrame) -> DataFrame:
     suffixes = blocks.cogroup(first.groupBy("block")).applyInArrow(suffix_runs, runs.RUN_DDL)
     second = suffixes.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(lambda t: _merge_range(t), runs.REPLY_DDL)
     return blocks.cogroup(second.groupBy("block")).applyInArrow(keep, OUT_DDL)
+
+
+def oracle_sql() -> str:
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    strings AS (
+      SELECT r, doc_id, p, b[p:p] AS byte, CASE WHEN p <= n - {LENGTH - 1} THEN b[p:p + {LENGTH - 1}] END AS span
+      FROM (SELECT r, doc_id, b, octet_length(b) AS n, unnest(range(1, octet_length(b) + 1)) AS p FROM docs)
+    ), first AS (SELECT span, min(doc_id) AS least FROM strings WHERE span IS NOT NULL GROUP BY span HAVING count(*) > 1),
+    covered AS (
+      SELECT r, p, byte, coalesce(bool_or(found) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW), false) AS gone
+      FROM (SELECT s.r, s.p, s.byte, f.least < s.doc_id AS found FROM strings s LEFT JOIN first f ON s.span = f.span)
+    ), runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS opens FROM covered),
+    kept AS (
+      SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(hex(byte), '' ORDER BY p) FILTER (NOT gone) AS left_over
+      FROM runs GROUP BY r
+    )
+    SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(coalesce(left_over, ''))) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (r)"""
