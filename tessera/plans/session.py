@@ -93,7 +93,8 @@ def run_all(queries: dict[int, str], search: Callable[[str], DataFrame], docs: D
     found = held(out)  # k rows a query
     ids = [r["doc_id"] for r in found.select("doc_id").distinct().collect()]
     names = docs.where(F.col("doc_id").isin(ids)).select("doc_id", T.normal_name(F.col(name).cast("string")).alias("name"))
-    return names.join(F.broadcast(found), "doc_id").select("query_id", "name", "rank")
+    # A result without a document, as another table's vectors can give, was retrieved all the same and is not relevant.
+    return found.join(names, "doc_id", "left").select("query_id", "name", "rank")
 
 
 def results(ranked: DataFrame, docs: DataFrame, query: str) -> DataFrame:
