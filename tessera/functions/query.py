@@ -7,13 +7,22 @@ from dataclasses import dataclass, field
 
 from tessera import fixed
 
-_URL, _EMAIL, _TOKEN = re.compile(fixed.URL), re.compile(fixed.EMAIL), re.compile(fixed.TOKEN)
+#: What is no white space for the columns' patterns; Python's own class leaves out four control characters more.
+_OTHER = r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: A mail address always takes the whole run it lies in, so that the search begins at runs only.
+_URL, _EMAIL, _TOKEN = re.compile(fixed.URL.replace(r"\S", _OTHER)), re.compile(f"(?<!{_OTHER})" + fixed.EMAIL.replace(r"\S", _OTHER)), re.compile(fixed.TOKEN)
 _STOP = frozenset(fixed.STOPWORDS)
 
 
+def raw_tokens(text: str) -> list[str]:
+    """All tokens in order, in the case they have."""
+    if "://" in text or "www." in text:
+        text = _URL.sub(" ", text)
+    return _TOKEN.findall(_EMAIL.sub(" ", text) if "@" in text else text)
+
+
 def searched_terms(text: str) -> list[str]:
-    found = _TOKEN.findall(_EMAIL.sub(" ", _URL.sub(" ", text)))
-    folded = [t.lower() if t.isascii() else t for t in found]
+    folded = [t.lower() if t.isascii() else t for t in raw_tokens(text)]
     long_enough = [t for t in folded if fixed.MIN_TOKEN <= len(t) <= fixed.MAX_TOKEN and t not in _STOP]
     return [t for t in long_enough if len(t) >= fixed.MIN_NUMBER or not t.isdecimal()]
 

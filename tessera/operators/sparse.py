@@ -1,4 +1,4 @@
-"""TF-IDF cosine ranking. A query reads the postings of its terms only and sums unit weights by document."""
+"""TF-IDF cosine ranking. A query reads the postings of its terms only, sums weights by document, and divides by norms."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import fixed
 from tessera.functions.query import Query, searched_terms
 from tessera.operators import boolean
-from tessera.operators.index import Index
+from tessera.operators.index import Index, weight
 
 #: Scores are ordered by this many decimals, then doc_id, so that copies tie whatever the order of a sum.
 DECIMALS = 9
@@ -41,8 +41,15 @@ def cosine(index: Index, vector: dict[str, float]) -> DataFrame:
     size = sum(w * w for w in live.values()) ** 0.5
     if not live:
         return index.lengths.where(F.lit(False)).select("doc_id", F.lit(0.0).alias("score"))
-    hits = index.postings.where(F.col("term").isin(list(live))).select("doc_id", (F.col("unit") * _looked_up(live, F.col("term"))).alias("part"))
-    return hits.groupBy("doc_id").agg((F.sum("part") / size).alias("score")).where("score > 0")
+    idf = _looked_up(index.idf(list(live)), F.col("term"))
+    hits = index.postings.where(F.col("term").isin(list(live))).select("doc_id", (weight(idf) * _looked_up(live, F.col("term"))).alias("part"))
+    return _normed(index, hits.groupBy("doc_id").agg((F.sum("part") / size).alias("dot")))
+
+
+def _normed(index: Index, dots: DataFrame) -> DataFrame:
+    """Positive scores: dot over the document's norm. Both sides lie by doc_id and have a row a document."""
+    norms = index.lengths.where("norm > 0").select("doc_id", "norm")
+    return dots.where("dot > 0").join(norms, "doc_id").withColumn("score", F.col("dot") / F.col("norm")).drop("dot", "norm").where("score > 0")
 
 
 def rank(index: Index, terms: list[str], k: int = fixed.TOP_K, weights: dict[str, float] | None = None) -> DataFrame:
@@ -78,14 +85,25 @@ def search(index: Index, query: Query, k: int = fixed.TOP_K) -> DataFrame:
     return with_phrase_boost(index, ranked, query.raw, k)
 
 
+#: Up to so many rows of queries, their terms are literals of the scans' filters and their weights are sent to every task.
+FEW = 1000
+
+
 def rank_many(index: Index, queries: DataFrame, k: int = fixed.TOP_K) -> DataFrame:
-    """query_id, doc_id, score, rank for many queries (query_id, term, weight) at once, in one join and one window."""
+    """query_id, doc_id, score, rank for many queries (query_id, term, weight) at once, in one join and one window.
+
+    A few queries read the postings of their terms only; for any number of them postings and terms are joined."""
     from pyspark.sql import Window
 
-    known = queries.groupBy("query_id", "term").agg(F.sum("weight").alias("weight")).join(index.terms.select("term", "idf"), "term")
-    vector = known.select("query_id", "term", (F.col("weight") * F.col("idf")).alias("q"))
-    size = vector.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("size"))
-    parts = index.postings.select("term", "doc_id", "unit").join(vector, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("unit") * F.col("q")).alias("dot"))
-    scores = parts.join(size, "query_id").where("size > 0").select("query_id", "doc_id", (F.col("dot") / F.col("size")).alias("score")).where("score > 0")
+    terms, postings, sent = index.terms.select("term", "idf"), index.postings.select("term", "doc_id", "tf", "length"), lambda df: df
+    rows = queries.select("query_id", "term", "weight").limit(FEW + 1).collect()
+    if len(rows) <= FEW:
+        named = F.col("term").isin(list({r["term"] for r in rows if r["term"] is not None}))
+        terms, postings, sent = terms.where(named), postings.where(named), F.broadcast
+    known = sent(queries.groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))).join(terms, "term")
+    vector = known.select("query_id", "term", "idf", (F.col("weight") * F.col("idf")).alias("q"))
+    size = vector.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("size")).where("size > 0")
+    dots = postings.join(sent(vector), "term").groupBy("query_id", "doc_id").agg(F.sum(weight(F.col("idf")) * F.col("q")).alias("dot"))
+    scores = _normed(index, dots.join(sent(size), "query_id").select("query_id", "doc_id", (F.col("dot") / F.col("size")).alias("dot"))).select("query_id", "doc_id", "score")
     order = Window.partitionBy("query_id").orderBy(F.round("score", DECIMALS).desc(), "doc_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -26,7 +26,7 @@ def matching_terms(index: Index, pattern: str) -> DataFrame:
 
 def search(index: Index, pattern: str, k: int = fixed.TOP_K) -> DataFrame:
     """Documents by the sum of the matching terms' weights; scores of zero stay."""
-    hits = index.postings.where(F.col("term").like(like(pattern)))
+    hits = index.weights(F.col("term").like(like(pattern)))
     return top(hits.groupBy("doc_id").agg(F.sum("weight").alias("score")), k)
 
 

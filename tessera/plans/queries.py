@@ -148,7 +148,7 @@ def idf(s, d):
 
 
 def tfidf_weights(s, d):
-    return rounded(index_of(s, d).postings.select("term", "doc_id", "weight"), "weight")
+    return rounded(index_of(s, d).weights(), "weight")
 
 
 def doc_norms(s, d):

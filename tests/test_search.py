@@ -217,3 +217,42 @@ def test_session(spark, tmp_path):
     assert {r["query_id"]: r["reciprocal_rank"] for r in found.collect()} == {1: 1.0, 2: 1.0}
     with pytest.raises(ValueError):
         session.ranked("x", "other")
+
+
+def test_index_moves_postings_once(spark, tmp_path):
+    """Postings carry no weights, and rows of one doc_id are one document, as one row with both texts would be."""
+    docs = spark.createDataFrame([(0, "alpha beta alpha"), (1, None), (2, "gamma"), (0, "beta the delta"), (3, "a 1")], "doc_id long, text string")
+    index = Index.build(docs, str(tmp_path / "i"))
+    assert index.postings.columns == ["term", "doc_id", "tf", "length", "positions"]
+    found = {(r["term"], r["doc_id"]): (r["tf"], r["length"], r["positions"]) for r in index.postings.collect()}
+    assert found == {("alpha", 0): (2, 5, [0, 2]), ("beta", 0): (2, 5, [0, 1]), ("delta", 0): (1, 5, [2]), ("gamma", 2): (1, 1, [0])}
+    assert {(r["term"], r["doc_id"]): round(r["weight"], 6) for r in index.weights().collect()}["alpha", 0] == round(2 / 5 * math.log10(5), 6)
+    assert {r["doc_id"]: r["length"] for r in index.lengths.collect()} == {0: 5, 2: 1}
+
+
+def test_many_or_few_queries(spark, index, monkeypatch):
+    """A few queries prune the scan by their terms; more than that are joined, with the same ranks."""
+    rows = [(1, "network", 1.0), (1, "security", 1.0), (2, "12345", 1.0), (3, "absent", 1.0), (4, "security", 2.0)]
+    queries = spark.createDataFrame(rows, "query_id int, term string, weight double")
+    few = sparse.rank_many(index, queries)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "term#" in plan and "network" in plan and "broadcast" in plan
+    monkeypatch.setattr(sparse, "FEW", 2)
+    many = sparse.rank_many(index, queries)
+    assert "network" not in many._jdf.queryExecution().optimizedPlan().toString()
+    ranks = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    assert ranks(few) == ranks(many) and len(ranks(few)) == 7
+
+
+def test_postings_have_the_columns_tokens(spark, monkeypatch):
+    """Postings are made by Python's patterns, positions by the columns': alike on awkward texts, however they are cut."""
+    odd = ["", "a@b.c x@y. @z.w p@q@r.s.t. end", "see https://a.b/c?d WWW.x www.y z http://", "\x1cme@x.org\x1funit ab\u0085cd@e.fg", "ABCవిద్య Kelvin King İstanbul १२३ é1", "x" * 51 + " " + "Y" * 50, "The the THE net Net NET", "u@v" * 50 + ".w tail"]
+    docs = spark.createDataFrame([*enumerate(odd * 3), (99, None)], "doc_id long, text string").unionByName(P.docs_of(spark, "/root/testdata/sf0.001").selectExpr("doc_id + 1000 as doc_id", "text"))
+    from tessera.operators import index as I
+
+    expected = sorted((r["term"], r["doc_id"], r["pos"]) for r in I.positions(docs).collect())
+    for size in (I.BLOCK, 300):
+        monkeypatch.setattr(I, "BLOCK", size)
+        rows = I.raw_postings(docs).collect()
+        assert sorted((r["term"], r["doc_id"], p) for r in rows for p in r["positions"]) == expected
+        assert len({(r["term"], r["doc_id"]) for r in rows}) == len(rows) and all(r["tf"] == len(r["positions"]) for r in rows)
