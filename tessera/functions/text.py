@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed
@@ -12,7 +12,10 @@ DEVANAGARI, TELUGU, LATIN = "[ऀ-ॿ]", "[ఀ-౿]", "[a-zA-Z]"
 
 def tokens(text: Column) -> Column:
     """All tokens in order: URLs and mail addresses are blanked, pure ASCII tokens are lower-cased."""
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)" + fixed.URL, " "), "(?U)" + fixed.EMAIL, " ")
+    plain = F.coalesce(text, F.lit(""))
+    plain = F.when(F.contains(plain, F.lit("://")) | F.contains(plain, F.lit("www.")), F.regexp_replace(plain, "(?U)" + fixed.URL, " ")).otherwise(plain)
+    # An address always takes the whole run of characters it lies in, so that the search begins at runs only.
+    plain = F.when(F.contains(plain, F.lit("@")), F.regexp_replace(plain, r"(?U)(?<!\S)" + fixed.EMAIL, " ")).otherwise(plain)
     found = F.regexp_extract_all(plain, F.lit(f"({fixed.TOKEN})"), 1)
     return F.transform(found, lambda t: F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(t))
 
@@ -58,7 +61,17 @@ def windows(text: Column, n: int) -> Column:
 
 def ngrams(text: Column, n: int = 2) -> Column:
     """Character n-grams of every searched token between marks of its ends."""
-    return F.flatten(F.transform(terms(text), lambda t: windows(F.concat(F.lit("$"), t, F.lit("$")), n)))
+    return F.flatten(F.transform(terms(text), lambda t: _marked(t, n)))
+
+
+def _marked(term: Column, n: int) -> Column:
+    return windows(F.concat(F.lit("$"), term, F.lit("$")), n)
+
+
+def ngram_counts(docs: DataFrame, n: int = 2) -> DataFrame:
+    """ngram and its number in all texts. Terms are counted first, and each term is cut once for all its copies."""
+    counted = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+    return counted.select(F.explode(_marked(F.col("term"), n)).alias("ngram"), "times").groupBy("ngram").agg(F.sum("times").alias("n"))
 
 
 def stem_of(name: Column) -> Column:

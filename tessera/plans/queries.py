@@ -82,7 +82,7 @@ def doc_language_label(s, d):
 
 
 def char_ngrams(s, d):
-    return docs_of(s, d).select(F.explode(T.ngrams(F.col("text"))).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
+    return T.ngram_counts(docs_of(s, d))
 
 
 def bigram_index(s, d):

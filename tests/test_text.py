@@ -92,3 +92,15 @@ def test_query_parsing():
 def test_clean_synonyms():
     table = {"en": {"net": ["Net", "network", "internet", "web site", "mesh", "NETWORK", "grid", 7]}, "hi": {"पानी": ["पानी", "जल"]}, "te": {"x": ["x"]}}
     assert Q.clean_synonyms(table) == {"en": {"net": ["network", "mesh"]}, "hi": {"पानी": ["जल"]}, "te": {}}
+
+
+def test_ngrams_are_cut_once_a_term(spark):
+    """Each distinct term is cut once: the rows that are cut are no more than there are terms, whatever their copies."""
+    docs = spark.createDataFrame([("ab the ab cdé AB",), (None,), ("a 12 x@y.z 12345 ab",), ("ab " * 500,)], "text string")
+    got = T.ngram_counts(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2 and plan.count("Aggregate") == 2
+    assert "Aggregate [term" in plan
+    one_by_one = docs.select(F.explode(T.ngrams(F.col("text"))).alias("ngram")).groupBy("ngram").count()
+    counts = lambda df, n: {r["ngram"]: r[n] for r in df.collect()}
+    assert counts(got, "n") == counts(one_by_one, "count") and counts(got, "n")["ab"] == 504
