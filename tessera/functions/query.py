@@ -21,10 +21,15 @@ def raw_tokens(text: str) -> list[str]:
     return _TOKEN.findall(_EMAIL.sub(" ", text) if "@" in text else text)
 
 
+def searched(token: str) -> str | None:
+    """The term that a query makes of a token, if it keeps it."""
+    term = token.lower() if token.isascii() else token
+    kept = fixed.MIN_TOKEN <= len(term) <= fixed.MAX_TOKEN and term not in _STOP and (len(term) >= fixed.MIN_NUMBER or not term.isdecimal())
+    return term if kept else None
+
+
 def searched_terms(text: str) -> list[str]:
-    folded = [t.lower() if t.isascii() else t for t in raw_tokens(text)]
-    long_enough = [t for t in folded if fixed.MIN_TOKEN <= len(t) <= fixed.MAX_TOKEN and t not in _STOP]
-    return [t for t in long_enough if len(t) >= fixed.MIN_NUMBER or not t.isdecimal()]
+    return [t for t in map(searched, raw_tokens(text)) if t is not None]
 
 
 def language(text: str) -> str:

@@ -33,8 +33,9 @@ def fixed_chunks(docs: DataFrame) -> DataFrame:
 def sentences(text: Column) -> Column:
     """Lines that are headings, and the sentences of other lines, with single spaces."""
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    single = lambda c: F.regexp_replace(c, r"(?U)[^\S ]\s*| \s+", " ")  # noqa: E731 (runs that are no single space yet)
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n+"), strip), lambda x: x != "")
-    parts = lambda x: F.transform(F.split(x, r"(?U)(?<=[.!?।॥])\s+"), lambda s: strip(F.regexp_replace(s, r"(?U)\s+", " ")))
+    parts = lambda x: F.transform(F.split(x, r"(?U)(?<=[.!?।॥])\s+"), lambda s: F.trim(single(s)))
     return F.filter(F.flatten(F.transform(lines, lambda x: F.when(T.is_heading(x), F.array(x)).otherwise(parts(x)))), lambda s: s != "")
 
 
@@ -80,7 +81,7 @@ def fold(parts: list[str], headings: list[bool], vectors: np.ndarray) -> list[st
 def semantic_chunks(docs: DataFrame, encoder: Encoder) -> DataFrame:
     """doc_id, chunk_id, text; a document of one sentence is cut by words. One document is held at a time."""
     rows = docs.select("doc_id", "text", sentences(F.col("text")).alias("parts"))
-    rows = rows.withColumn("headings", F.transform("parts", T.is_heading))
+    rows = rows.select("doc_id", F.when(F.size("parts") == 1, F.col("text")).alias("text"), "parts", F.transform("parts", T.is_heading).alias("headings"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 from typing import Protocol
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed
-from tessera.functions.query import searched_terms
+from tessera.functions.query import raw_tokens, searched
 from tessera.operators.sparse import DECIMALS, top
 
 
@@ -26,6 +29,13 @@ class Encoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+@lru_cache(1 << 18)
+def hashed(token: str) -> int:
+    """Of the term that a query makes of a token; -1 where it keeps none."""
+    term = searched(token)
+    return -1 if term is None else crc32(term.encode())
+
+
 @dataclass(frozen=True)
 class HashEncoder:
     """A deterministic stand-in for a model: signed hashes of a text's terms, to unit length."""
@@ -33,13 +43,12 @@ class HashEncoder:
     dimensions: int = 384
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        import zlib
-
-        out = np.zeros((len(texts), self.dimensions), np.float32)
-        for i, text in enumerate(texts):
-            for term in searched_terms(text.lower()):
-                h = zlib.crc32(term.encode())
-                out[i, h % self.dimensions] += 1 if h >> 31 else -1
+        found = [raw_tokens(text.lower()) for text in texts]
+        hashes = np.fromiter(map(hashed, chain.from_iterable(found)), np.int64)
+        at = np.repeat(np.arange(len(texts)), [len(x) for x in found]) * self.dimensions + hashes % self.dimensions
+        kept = hashes >= 0
+        out = np.bincount(at[kept], np.where(hashes[kept] >> 31, 1.0, -1.0), len(texts) * self.dimensions)
+        out = out.reshape(len(texts), self.dimensions).astype(np.float32)
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(size > 0, size, 1)
 
